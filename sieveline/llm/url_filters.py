@@ -78,7 +78,8 @@ def templates(urls: DataFrame) -> DataFrame:
     """From rows (host, shape, bad, good): host, shape, template, bad_share of every distinct shape path."""
     tree = keep(urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     whole = tree.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("good"), F.lit(0)).alias("g")).first()
-    base = (whole["b"] + 1.0) / (whole["b"] + whole["g"] + 2.0)
+    # A host without labels isn't rejected for what others do.
+    base = min(0.5, (whole["b"] + 1.0) / (whole["b"] + whole["g"] + 2.0))
     # The host is the root of its tree.
     root = tree.groupBy("host").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
     root = root.select("host", ((F.col("b") + WEIGHT * base) / (F.col("b") + F.col("g") + WEIGHT)).alias("p"))
