@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, decontam, htmltext, langid, mixing, quality, sharding, simhash, tokens, url_filters
+from sieveline.llm import chat, decontam, htmltext, langid, mixing, oracles, quality, sharding, simhash, tokens, url_filters
 from sieveline.llm.common import table
 
 
@@ -21,7 +21,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     parts = [a.unionByName(b) for a, b in zip(chat.dialogue(turns), chat.embedded(turns), strict=True)]
-    return chat.formatted(*parts)
+    absent = {c: F.coalesce(F.col(c), F.lit(-1)) for c in ("level", "call_place", "result_place")}
+    return chat.formatted(*parts).withColumns(absent)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_chat_formatting": oracles.OP3, "op4_quality_rules": oracles.OP4, "op7_decontamination": oracles.OP7}

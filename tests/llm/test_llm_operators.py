@@ -457,7 +457,7 @@ def test_chat_table(spark):
     got = rows(queries.op3_chat_formatting(spark, SF))
     turns = rows(spark.read.parquet(f"{SF}/conversations.parquet"))
     users = sum(t["role"] == "user" for t in turns)
-    assert sum(g["call_place"] is not None for g in got) == users
+    assert sum(g["call_place"] >= 0 for g in got) == users
     import json
 
     for g in got:
