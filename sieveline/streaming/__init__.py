@@ -1 +1,64 @@
+"""Continuous scans: a stream of documents in, streams of findings and of changes out."""
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from sieveline.functions import text as X
+from sieveline.operators import scanners
+
+STATE = StructType([StructField("seen", ArrayType(StringType()))])
+CHANGES = "doc_id long, fingerprint string, delta_status string"
+
+
+def scan_stream(docs: DataFrame, scan: Callable[[DataFrame], DataFrame] = scanners.check_pii) -> DataFrame:
+    """The findings of a stream of documents; scanners are narrow, so an append stream stays one."""
+    return scan(docs)
+
+
+def sink(found: DataFrame, path: str, checkpoint: str):
+    """Writes findings batch by batch; a batch that is written again replaces itself, so each counts once."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return found.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
+
+
+class Changes(StatefulProcessor):
+    """Per document: the fingerprints of its latest version; emits what is new, unchanged or removed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getValueState("seen", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = {f for part in rows for f in part["fingerprint"] if f}
+        before = set(self._seen.get()[0] or []) if self._seen.exists() else set()
+        self._seen.update((sorted(now),))
+        out = [(key[0], f, "new" if f not in before else "unchanged") for f in sorted(now)]
+        out += [(key[0], f, "removed") for f in sorted(before - now)]
+        yield pd.DataFrame(out, columns=["doc_id", "fingerprint", "delta_status"])
+
+    def close(self) -> None:
+        pass
+
+
+def delta_stream(versions: DataFrame, scan: Callable[[DataFrame], DataFrame] = scanners.scan_code) -> DataFrame:
+    """Changes between the versions of each document; a version without findings still counts as one.
+
+    Needs the RocksDB state store, which keeps state larger than memory.
+    """
+    found = scan(versions).select("doc_id", X.fingerprint().alias("fingerprint"))
+    rows = found.unionByName(versions.select("doc_id", F.lit("").alias("fingerprint")))
+    return rows.groupBy("doc_id").transformWithStateInPandas(Changes(), CHANGES, "Append", "None")
+
+
+def windowed_counts(found: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Findings by event-time window and severity, with a watermark."""
+    return found.withWatermark(ts, late).groupBy(F.window(ts, width), "severity").agg(F.count("*").alias("n"))
