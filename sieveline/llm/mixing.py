@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import WORD
+from sieveline.llm.common import WORD, keep
 
 GRID = 33
 SEARCH_ROUNDS = 8
@@ -72,7 +72,8 @@ def mixed(
     n_blocks = max(LEAST_BLOCKS, docs.count() // BLOCK_ROWS)
     a = a.withColumn("_block", F.pmod(F.col("_h"), F.lit(n_blocks)).cast("int"))
     blocks = a.groupBy("_src", "_block").agg(F.sum("_n_tokens").alias("b"))
-    blocks = blocks.withColumn("_turn", F.xxhash64(F.lit(seed + 1), "_src", "_block"))
+    # Kept, as every step of the search reads it, and the texts are to be counted once.
+    blocks = keep(blocks.withColumn("_turn", F.xxhash64(F.lit(seed + 1), "_src", "_block")))
     sources = blocks.groupBy("_src").agg(F.sum("b").alias("n_tokens"))
     whole = sources.agg(F.sum("n_tokens").alias("t")).first()["t"] or 1
     e = exponent(sources, repeat_limit, target_entropy)
