@@ -7,11 +7,15 @@
    are left, which keeps every pair. At most a node's number of shards grows, not a shard.
 4. In each shard a BK-tree takes the nodes one by one: children are keyed by their Hamming distance to the parent,
    and a search follows only the edges within the radius. A subtree known to lie in one component is not searched
-   again once the searching node is in that component, so a dense group costs about its size, not its square. A link
-   may have to be confirmed by the documents' sketches, longer fingerprints of their shingles, which the nodes carry
-   along. What leaves a shard is a spanning forest of its links.
+   again once the searching node is in that component, so a dense group costs about its size, not its square. What
+   leaves a shard is a spanning forest of its links.
 5. Components: small and large stars over the forest's edges, checkpointed in the shared folder, until they rest.
 
+Near copies by a similarity (the pipeline's stage): nodes are distinct sets of shingles. A shard is one block of 16 bits
+of one of the fingerprints; nodes of a shard whose sketches are near are candidates. The texts of each component of
+candidates meet, and those are linked whose sets of shingles have the similarity, counted in full. A component of
+candidates is in one task.
+
 The trees are built where their shard's nodes are; broadcasting them would bring all fingerprints to the driver.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a text with fewer words than
@@ -86,48 +90,46 @@ class Features:
     #: Fingerprints, from as many hashes of the family; a link in any of them is a candidate.
     family: int = 1
     radius: int = 3
-    #: Words of the shingles by whose similarity candidates are confirmed; None: candidates are links.
-    confirm_width: int | None = None
-    similarity: float = 0.8
+    #: Jaccard similarity of the sets of shingles from which on candidates are links; None: candidates are links.
+    similarity: float | None = None
 
     @property
-    def confirm_bits(self) -> int:
-        """Differing bits of SKETCH at that Jaccard similarity: the angle of two sets of one size with that overlap."""
-        return math.ceil(SKETCH * math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi)
+    def near_bits(self) -> int:
+        """Differing bits of SKETCH up to which a pair is a candidate: those at the similarity and four standard errors."""
+        p = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+        return math.ceil(SKETCH * p + 4 * math.sqrt(SKETCH * p * (1 - p)))
 
 
 #: The contract's fingerprint.
 PLAIN = Features()
-#: Finds copies of which some 98 % of the words are in place, that is 0.8 of the shingles of five words. The words alone
-#: move few bits, so that one of eight fingerprints is within three; the sketch of the shingles then decides.
-NEAR = Features(width=1, distinct=True, family=8, confirm_width=5)
-#: Bits of the sketch that confirms.
-SKETCH = 512
+#: Finds copies with 0.8 of the shingles of five words. At 0.8 a bit differs with a probability of 0.15, so that one of
+#: the 80 blocks of 16 bits is equal with one of 0.997; the shingles themselves then decide.
+NEAR = Features(width=5, distinct=True, family=20, similarity=0.8)
+#: Bits, of the first fingerprints, that go along with each block.
+SKETCH = 256
+#: Nodes of a block up to which all pairs are compared at once.
+RUN = 16
 
 
 def fingerprints(docs: DataFrame, what: Features = PLAIN, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (Spark's XXH64 of the text), fps (signed 64-bit numbers) and sketch (null unless confirmed)."""
+    """doc_id, text_key (Spark's XXH64 of the text), fps (signed 64-bit numbers) and set_key (of the set of shingles, null without a similarity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                out, sketches = [], []
+                out, keys = [], []
                 for t in part.column(2).to_pylist():
                     h = shingle_hashes(t, what.width)
                     h = np.unique(h) if what.distinct else h
                     out.append([majority(mixed(h, i)) for i in range(what.family)])
-                    if what.confirm_width:
-                        h = np.unique(shingle_hashes(t, what.confirm_width))
-                        sketches.append(b"".join(majority(mixed(h, i)).to_bytes(8, "little") for i in range(SKETCH // 64)))
-                    else:
-                        sketches.append(None)
+                    keys.append(xxhash.xxh3_128_digest(h.tobytes()) if what.similarity else None)
                 flat = np.array(out, dtype=np.uint64).reshape(-1, what.family).view(np.int64)
                 fps = pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), what.family).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), fps, pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "fps", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), fps, pa.array(keys, pa.binary())], names=["doc_id", "text_key", "fps", "set_key"])
 
     slim = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("_text"))
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_key long, fps array<long>, sketch binary")
+    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, text_key long, fps array<long>, set_key binary")
 
 
 # ---- links
@@ -136,10 +138,9 @@ def fingerprints(docs: DataFrame, what: Features = PLAIN, doc: str = "doc_id", t
 class BkTree:
     """Nodes are numbered as they come; components are kept by a union-find over the same numbers."""
 
-    def __init__(self, radius: int, confirm_bits: int = 0) -> None:
-        self.radius, self.confirm_bits = radius, confirm_bits
+    def __init__(self, radius: int) -> None:
+        self.radius = radius
         self.fp: list[int] = []
-        self.sketch: list[int] = []
         self.child: list[dict[int, int]] = []
         self.up: list[int] = []
         #: A node of the component that holds the whole subtree, or -1.
@@ -151,14 +152,10 @@ class BkTree:
             x = self.up[x]
         return x
 
-    def linked(self, node: int, me: int) -> bool:
-        return (self.sketch[node] ^ self.sketch[me]).bit_count() <= self.confirm_bits
-
-    def add(self, fp: int, sketch: int = 0) -> None:
+    def add(self, fp: int) -> None:
         """Links the new node to all components that it touches."""
         me = len(self.fp)
         self.fp.append(fp)
-        self.sketch.append(sketch)
         self.child.append({})
         self.up.append(me)
         self.whole.append(me)
@@ -177,7 +174,7 @@ class BkTree:
         # Nearest place first, so that the node soon is in its component and most subtrees can be left out.
         todo = [0]
         for node in reversed(path):
-            if (self.fp[node] ^ fp).bit_count() <= radius and self.linked(node, me):
+            if (self.fp[node] ^ fp).bit_count() <= radius:
                 self.join(node, me)
                 break
         while todo:
@@ -186,7 +183,7 @@ class BkTree:
             if w >= 0 and self.root(w) == self.root(me):
                 continue
             d = (self.fp[node] ^ fp).bit_count()
-            if d <= radius and self.linked(node, me):
+            if d <= radius:
                 self.join(node, me)
             kids = [(abs(k - d), c) for k, c in self.child[node].items() if -radius <= k - d <= radius and c != me]
             kids.sort(reverse=True)
@@ -201,43 +198,37 @@ class BkTree:
             self.up[max(a, b)] = min(a, b)
 
 
-def forest(fps: list[int], radius: int, sketches: list[bytes] | None = None, confirm_bits: int = 0) -> Iterator[tuple[int, int]]:
+def forest(fps: list[int], radius: int) -> Iterator[tuple[int, int]]:
     """(first node, node) of each node that isn't the first of its component."""
-    tree, order = BkTree(radius, confirm_bits), range(len(fps))
-    if sketches and len(fps) > 64:
-        # What copies were made from is nearest to all of them: first in, it soon joins them, and the rest is left out.
-        bits = np.unpackbits(np.frombuffer(b"".join(sketches), dtype=np.uint8).reshape(len(fps), -1), axis=1)
-        middle = 2 * bits.sum(axis=0, dtype=np.int64) > len(fps)
-        order = np.argsort((bits != middle).sum(axis=1), kind="stable").tolist()
-    for k in order:
-        tree.add(fps[k], int.from_bytes(sketches[k], "little") if sketches else 0)
-    for n, k in enumerate(order):
+    tree = BkTree(radius)
+    for fp in fps:
+        tree.add(fp)
+    for n in range(len(fps)):
         if (r := tree.root(n)) != n:
-            yield order[r], k
+            yield r, n
 
 
-def _links(radius: int, confirm_bits: int):
+def _links(radius: int):
     mask = (1 << 64) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by shard; a shard may go on in the next batch."""
-        shard, nodes, fps, sketches = None, [], [], []
+        shard, nodes, fps = None, [], []
         out: tuple[list[int], list[int]] = ([], [])
 
         def close() -> None:
             if len(nodes) > 1:
-                for a, b in forest(fps, radius, sketches if sketches[0] is not None else None, confirm_bits):
+                for a, b in forest(fps, radius):
                     out[0].append(nodes[a])
                     out[1].append(nodes[b])
 
         for b in batches:
-            for s, f, n, x in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
+            for s, f, n in zip(*[b.column(k).to_pylist() for k in range(3)], strict=True):
                 if s != shard:
                     close()
-                    shard, nodes, fps, sketches = s, [], [], []
+                    shard, nodes, fps = s, [], []
                 nodes.append(n)
                 fps.append(f & mask)
-                sketches.append(x)
             if len(out[0]) > 10_000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
                 out = ([], [])
@@ -253,9 +244,9 @@ def _bits(x: Column, at: int, n: int) -> Column:
 
 
 def links(nodes: DataFrame, what: Features = PLAIN) -> DataFrame:
-    """Edges (a, b) between the nodes (node, fps, sketch): a forest of each component of the links."""
+    """Edges (a, b) between the nodes (node, fps): a forest of each component of the links."""
     blocks = what.radius + 1
-    rest = nodes.select("node", "sketch", F.posexplode("fps").alias("_t", "fp")).select("node", "sketch", "fp", F.col("_t").cast("long").alias("shard"), F.col("fp").alias("left"))
+    rest = nodes.select("node", F.posexplode("fps").alias("_t", "fp")).select("node", "fp", F.col("_t").cast("long").alias("shard"), F.col("fp").alias("left"))
     width, edges = 64, None
     for cut in range(CUTS + 1):
         cuts = [width * k // blocks for k in range(blocks + 1)]
@@ -266,14 +257,14 @@ def links(nodes: DataFrame, what: Features = PLAIN) -> DataFrame:
             high = F.shiftrightunsigned("left", cuts[k + 1]) if cuts[k + 1] < 64 else F.lit(0).cast("long")
             # What is left has the block taken out; where blocks differ by a bit in length, the widest counts.
             parts.append(F.struct(F.xxhash64("shard", F.lit(cut), F.lit(k), _bits(F.col("left"), at, n)).alias("shard"), F.shiftleft(high, at).bitwiseOR(low).alias("left")))
-        here = rest.select("node", "sketch", "fp", F.explode(F.array(*parts)).alias("_p")).select("node", "sketch", "fp", "_p.shard", "_p.left")
+        here = rest.select("node", "fp", F.explode(F.array(*parts)).alias("_p")).select("node", "fp", "_p.shard", "_p.left")
         hot = None
         if cut < CUTS:
             hot = keep(here.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).select("shard"))
             hot = None if hot.isEmpty() else hot
         cold = here.join(hot, "shard", "left_anti") if hot is not None else here
-        near = cold.select("shard", "fp", "node", "sketch").repartition("shard").sortWithinPartitions("shard", "fp", "node")
-        found = near.mapInArrow(_links(what.radius, what.confirm_bits if what.confirm_width else 0), "a long, b long")
+        near = cold.select("shard", "fp", "node").repartition("shard").sortWithinPartitions("shard", "fp", "node")
+        found = near.mapInArrow(_links(what.radius), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         if hot is None:
             break
@@ -282,6 +273,150 @@ def links(nodes: DataFrame, what: Features = PLAIN) -> DataFrame:
     return edges
 
 
+def _rounds(x: np.ndarray, left: np.ndarray, linked) -> Iterator[tuple[int, int]]:
+    """(node, found) of a forest: each node takes what is linked to it of the nodes that none has taken before."""
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            me = todo.pop()
+            near = np.bitwise_count(x[left] ^ x[me]).sum(axis=1, dtype=np.int64)
+            hit = linked(me, left, near)
+            found = left[hit].tolist()
+            yield from ((me, n) for n in found)
+            todo += found
+            left = left[~hit]
+
+
+def _alike(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (shard, node, sketch) come sorted by shard; a shard may go on in the next batch."""
+        held: list[tuple] = []
+
+        def pairs(shard, node, x) -> pa.RecordBatch:
+            start = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            size = np.diff(np.r_[start, len(shard)])
+            small = np.repeat(size <= RUN, size)
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for lag in range(1, int(min(RUN, size.max()))):
+                at = np.flatnonzero((shard[lag:] == shard[:-lag]) & small[lag:])
+                at = at[np.bitwise_count(x[at] ^ x[at + lag]).sum(axis=1, dtype=np.int64) <= bits]
+                a.append(node[at])
+                b.append(node[at + lag])
+            for s, n in zip(start[size > RUN], size[size > RUN], strict=True):
+                tied = np.array(list(_rounds(x, np.arange(s, s + n), lambda me, left, near: near <= bits)), dtype=np.int64).reshape(-1, 2)
+                a.append(node[tied[:, 0]])
+                b.append(node[tied[:, 1]])
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+        for r in batches:
+            if not r.num_rows:
+                continue
+            shard, node = (r.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            x = np.stack([r.column(k).to_numpy(zero_copy_only=False) for k in range(2, r.num_columns)], axis=1).view(np.uint64)
+            if shard[0] == shard[-1]:
+                if held and held[0][0][0] != shard[0]:
+                    yield pairs(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                held.append((shard, node, x))
+                continue
+            cut = int(np.flatnonzero(shard != shard[-1])[-1]) + 1
+            held.append((shard[:cut], node[:cut], x[:cut]))
+            yield pairs(*map(np.concatenate, zip(*held, strict=True)))
+            held = [(shard[cut:], node[cut:], x[cut:])]
+        if held:
+            yield pairs(*map(np.concatenate, zip(*held, strict=True)))
+
+    return run
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges (a, b) those that tie two parts not tied before; what was tied is forgotten beyond a million nodes."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for r in batches:
+        out = []
+        for a, b in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((a, b))
+        if len(up) > 1_000_000:
+            up.clear()
+        yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+
+def candidates(nodes: DataFrame, what: Features = NEAR) -> DataFrame:
+    """Edges (a, b) between nodes (node, fps) with an equal block of 16 bits whose sketches are near: of each block a forest."""
+    shards = [F.lit((4 * t + k) << 16) + _bits(F.get("fps", F.lit(t)), 16 * k, 16) for t in range(what.family) for k in range(4)]
+    sketch = [F.get("fps", F.lit(t)).alias(f"x{t}") for t in range(SKETCH // 64)]
+    rows = nodes.select(F.explode(F.array(*shards)).alias("shard"), "node", *sketch)
+    found = rows.repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_alike(what.near_bits), "a long, b long")
+    # The blocks' forests overlap: each task drops what its own edges tie already, and a few tasks what is left.
+    return found.mapInArrow(_trees, "a long, b long").repartition(8).mapInArrow(_trees, "a long, b long")
+
+
+def _exact(what: Features):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (root, node, text, sketch) come sorted by root; a group of candidates may go on in the next batch."""
+        root, nodes, sets, xs = None, [], [], []
+
+        def close() -> list[tuple[int, int]]:
+            if len(nodes) < 2:
+                return []
+            size = np.array([len(h) for h in sets])
+
+            def linked(me: int, left: np.ndarray, near: np.ndarray) -> np.ndarray:
+                hit = near <= what.near_bits
+                mine = sets[me]
+                if not len(mine):
+                    return np.zeros(len(left), dtype=bool)
+                # Sets whose sizes differ by more can't be as similar.
+                hit &= (size[left] >= what.similarity * len(mine)) & (len(mine) >= what.similarity * size[left])
+                at = np.flatnonzero(hit)
+                for k in range(0, len(at), 1000):
+                    some = at[k : k + 1000]
+                    n = size[left[some]]
+                    flat = np.concatenate([sets[i] for i in left[some]])
+                    same = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    both = np.add.reduceat(same, np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64)
+                    hit[some] = both >= what.similarity * (len(mine) + n - both)
+                return hit
+
+            return [(nodes[a], nodes[b]) for a, b in _rounds(np.array(xs, dtype=np.int64).view(np.uint64), np.arange(len(nodes)), linked)]
+
+        for b in batches:
+            out = []
+            for r, n, t, *x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if r != root:
+                    out += close()
+                    root, nodes, sets, xs = r, [], [], []
+                if nodes and nodes[-1] == n:  # rows alike in id and text
+                    continue
+                nodes.append(n)
+                sets.append(np.unique(shingle_hashes(t, what.width)))
+                xs.append(x)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+        out = close()
+        yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+
+    return run
+
+
+def confirmed(nodes: DataFrame, docs: DataFrame, what: Features = NEAR, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Edges (a, b) between nodes (node, fps, one: a document's id and text_key) whose sets of shingles have the similarity."""
+    roots = components(candidates(nodes.select("node", "fps"), what))
+    roots = keep(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(nodes, "node").select("root", "node", "one", "fps"))
+    mine = F.col(doc).eqNullSafe(F.col("one.doc_id")) & (F.xxhash64(F.col(text)) == F.col("one.text_key"))
+    texts = docs.select(F.col(doc), F.col(text)).join(roots, mine).select("root", "node", F.col(text).alias("_text"), *[F.get("fps", F.lit(t)).alias(f"x{t}") for t in range(SKETCH // 64)])
+    return texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_exact(what), "a long, b long")
+
+
 # ---- components
 
 
@@ -307,10 +442,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 def grouped(docs: DataFrame, what: Features = PLAIN, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, fps, component_id (the smallest doc_id reachable) and n_rows (documents with these fingerprints)."""
     marked = keep(fingerprints(docs, what, doc, text))
-    key = ["fps", "sketch"] if what.confirm_width else ["fps"]
-    nodes = marked.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows"), F.max("sketch").alias("_x"))
-    nodes = keep(nodes.select("fps", F.col("_x").alias("sketch"), "first", "n_rows", F.monotonically_increasing_id().alias("node")))
-    roots = components(links(nodes.select("node", "fps", "sketch"), what))
+    key = ["set_key"] if what.similarity else ["fps"]
+    nodes = marked.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("fps").alias("_f"))
+    nodes = keep(nodes.select(*key, F.col("_f").alias("fps"), "first", "n_rows", "one", F.monotonically_increasing_id().alias("node")) if what.similarity else nodes.select("fps", "first", "n_rows", F.monotonically_increasing_id().alias("node")))
+    roots = components(confirmed(nodes, docs, what, doc, text) if what.similarity else links(nodes.select("node", "fps"), what))
     tied = nodes.join(roots, "node").select("root", "first").unionByName(nodes.join(roots.select("root").distinct(), nodes["node"] == F.col("root")).select("root", "first"))
     least = tied.groupBy("root").agg(F.min("first").alias("least"))
     label = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(least, "root", "left")

@@ -75,3 +75,33 @@ def test_union_of_all_columns_survives(spark):
     assert simhash.deduplicated(df.drop("_k")).columns == ["doc_id", "text", "kept"]
     assert quality.accepted(df).columns == df.columns
     assert df.agg(F.count("*")).first()[0] == 1
+
+
+def test_near_copies_at_the_similarity_as_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    shingles = lambda t: {tuple(t[k : k + 5]) for k in range(len(t) - 4)}
+    texts = []
+    for k in range(120):
+        text = [word() for _ in range(200)]
+        copy = list(text)
+        if k % 3 == 0:
+            copy += [word() for _ in range(48 if k % 2 else 51)]  # appended: a similarity of 0.803, and of 0.794
+        elif k % 3 == 1:
+            for at in range(20, 180, 40):  # four words, far apart: 176 of 216
+                copy[at] = word()
+        else:
+            for at in range(20, 200, 30):  # six: 166 of 226
+                copy[at] = word()
+        texts += [text, copy]
+    want = set(range(240))
+    for k in range(120):
+        a, b = shingles(texts[2 * k]), shingles(texts[2 * k + 1])
+        if len(a & b) >= 0.8 * len(a | b):
+            want.discard(2 * k + 1)
+    assert len(want) == 240 - 60
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.deduplicated(df).select("doc_id").collect()}
+    assert want <= left and len(left - want) <= 2  # a candidate is found with a probability of 0.997
