@@ -41,7 +41,9 @@ def shaped(df: DataFrame, **given: Column) -> DataFrame:
 def _base(docs: DataFrame) -> DataFrame:
     path = F.col("file_path") if "file_path" in docs.columns else F.lit(None).cast("string")
     lang = F.col("language") if "language" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), path.alias("file_path"), lang.alias("language"), "text")
+    # A key of several columns stays the struct that it is.
+    key = F.col("doc_id") if dict(docs.dtypes)["doc_id"].startswith("struct") else F.col("doc_id").cast("bigint")
+    return docs.select(key.alias("doc_id"), path.alias("file_path"), lang.alias("language"), "text")
 
 
 def by_line(docs: DataFrame) -> DataFrame:

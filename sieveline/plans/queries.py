@@ -194,9 +194,9 @@ def content_findings(spark, sf_dir):
 
 @query("SELECT conv_id, turn, CAST(length(text) - length(replace(text, 'tion', '')) AS BIGINT) // 4 AS n FROM conversations WHERE role = 'assistant' AND contains(text, 'tion')")
 def pattern_matches(spark, sf_dir):
-    c = _table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    c = _table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
     m = scanners.match_pattern(c, "tion").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return m.select(F.floor(F.col("doc_id") / 1000).alias("conv_id"), (F.col("doc_id") % 1000).alias("turn"), "n")
+    return m.select("doc_id.conv_id", "doc_id.turn", "n")
 
 
 @query()

@@ -269,3 +269,12 @@ def test_entry_names():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_pattern_matches_of_long_conversations(spark, tmp_path):
+    from sieveline.plans import queries
+
+    data = [(1, 1000, "assistant", "nation"), (2, 0, "assistant", "action motion"), (1, 999, "user", "nation"), (2, 70000, "assistant", "station")]
+    spark.createDataFrame(data, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"], r["n"]) for r in queries.QUERIES["pattern_matches"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1000, 1), (2, 0, 2), (2, 70000, 1)}
