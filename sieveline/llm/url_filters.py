@@ -3,8 +3,7 @@
 The tree: each path segment is first generalised by its shape (numbers, hexadecimal names, dates, file
 extensions), which leaves per host a small tree of templates. Level by level, the children of a node that look
 like their siblings - whose share of bad labels is within ``Z`` standard errors of all siblings' share, or
-that have no labels - are merged into one ``*`` branch, and so are the children of a node with a great variety
-of names; a child that differs keeps its name. A template is rejected if its labelled purity, smoothed towards
+that have no labels - are merged into one ``*`` branch; a child that differs keeps its name, among however many. A template is rejected if its labelled purity, smoothed towards
 its parent's, reaches ``REJECT``. The parents' purities come from the rules' own verdicts, or from a label column.
 
 Everything is summed over distinct (host, shape path) before any shuffle by node, so that a host with a third of
@@ -32,8 +31,6 @@ RULES = (
 LEVELS = 4
 #: Standard errors by which a branch may differ from its siblings and still be merged.
 Z = 2.0
-#: Distinct names under one node from which on they are variable.
-VARIETY = 64
 #: Weight, in urls, of the parent's purity.
 WEIGHT = 4.0
 REJECT = 0.75
@@ -94,7 +91,7 @@ def templates(urls: DataFrame) -> DataFrame:
         share = (F.col("nb") + 1.0) / (F.col("nb") + F.col("ng") + 2.0)
         labelled = F.col("b") + F.col("g")
         off = F.abs(F.col("b") - labelled * share) / F.sqrt(F.greatest(labelled, F.lit(1)) * share * (1 - share))
-        wild = (F.col("kinds") > 1) & ((F.col("kinds") >= VARIETY) | (labelled == 0) | (off <= Z))
+        wild = (F.col("kinds") > 1) & ((labelled == 0) | (off <= Z))
         both = both.withColumn("name", F.when(wild, F.lit("*")).otherwise(F.col("seg")))
         branch = both.groupBy("host", "template", "name").agg(
             ((F.sum("b") + WEIGHT * F.first("p")) / (F.sum("b") + F.sum("g") + WEIGHT)).alias("np")

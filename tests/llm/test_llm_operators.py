@@ -381,6 +381,19 @@ def test_url_templates_learn_from_labels(spark):
     assert got["http://t.example/x"]["verdict"] == "allow"
 
 
+def test_url_branches_differ_among_many(spark):
+    def learned(n):
+        names = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n)]
+        data = [(f"http://s.example/{x}/{k}", 0) for x in names for k in range(9)] + [(f"http://s.example/spam/{k}", 1) for k in range(40)]
+        data += [("http://s.example/spam/999", None), ("http://s.example/aa/999", None)]
+        df = spark.createDataFrame([(k, u, b) for k, (u, b) in enumerate(data)], "page_id long, url string, bad int")
+        return {r["url"]: r["verdict"] for r in rows(url_filters.judge(df, rules=(), label="bad"))}
+
+    for n in (62, 63, 200):
+        got = learned(n)
+        assert got["http://s.example/spam/999"] == "block" and got["http://s.example/aa/999"] == "allow"
+
+
 # ---- 5
 
 
