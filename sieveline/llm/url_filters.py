@@ -15,6 +15,8 @@ repeated rows are judged each by itself; an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-LEVELS = 4
 #: Standard errors by which a branch may differ from its siblings and still be merged.
 Z = 2.0
 #: Weight, in urls, of the parent's purity.
@@ -57,7 +58,7 @@ def matched(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shaped(path: Column) -> Column:
-    """Segments with variable parts generalised; at most LEVELS of them, the rest as one ``**``."""
+    """All segments, with variable parts generalised."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     one = lambda s: (
         F.when(s.rlike("^[0-9]+$"), "{n}")
@@ -67,8 +68,7 @@ def shaped(path: Column) -> Column:
         .when(s.rlike("[0-9]"), F.regexp_replace(s, "[0-9]+", "{d}"))
         .otherwise(s)
     )
-    head = F.transform(F.slice(parts, 1, LEVELS), one)
-    return F.when(F.size(parts) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    return F.transform(parts, one)
 
 
 def templates(urls: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def templates(urls: DataFrame) -> DataFrame:
     root = tree.groupBy("host").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
     root = root.select("host", ((F.col("b") + WEIGHT * base) / (F.col("b") + F.col("g") + WEIGHT)).alias("p"))
     tree = keep(tree.join(root, "host").withColumn("template", F.lit("")))
-    for d in range(LEVELS + 1):
+    for d in count():  # until no path has a further segment
         seg = F.get("shape", F.lit(d))
         if tree.where(seg.isNotNull()).isEmpty():
             break

@@ -394,6 +394,14 @@ def test_url_branches_differ_among_many(spark):
         assert got["http://s.example/spam/999"] == "block" and got["http://s.example/aa/999"] == "allow"
 
 
+def test_url_branches_differ_far_down(spark):
+    data = [(f"http://s.example/a/b/c/d/e/{x}/{k}", b) for x, b in (("spam", 1), ("news", 0)) for k in range(40)]
+    data += [("http://s.example/a/b/c/d/e/spam/999", None), ("http://s.example/a/b/c/d/e/news/999", None)]
+    df = spark.createDataFrame([(k, u, b) for k, (u, b) in enumerate(data)], "page_id long, url string, bad int")
+    got = {r["url"]: r["verdict"] for r in rows(url_filters.judge(df, rules=(), label="bad"))}
+    assert got["http://s.example/a/b/c/d/e/spam/999"] == "block" and got["http://s.example/a/b/c/d/e/news/999"] == "allow"
+
+
 # ---- 5
 
 
