@@ -7,12 +7,13 @@ the pages with the nearest URL paths on its host: their lines are aligned by a l
 lines in common are deleted, since what two neighbours share in the same order is the site's and not the page's.
 Lines in a marked article are not deleted, as articles quote the same passages.
 
-Pages are range-partitioned by (host, path) and sorted, so that a page's neighbours are the rows next to it and a
-host with a third of all pages still fills many tasks. A worker holds three pages at a time. A page at the edge of
-a partition is compared to the one neighbour that it has there.
+Pages are parsed, range-partitioned by (host, path) and sorted, so that a page's neighbours are the rows next to it
+and a host with a third of all pages still fills many tasks. Pages next to each other with equal lines are one run; each
+run is compared to the run before and the run after it. The driver hands the lines of the first two and last two runs
+of each partition on, so that the runs at its edges have both neighbours too, however the pages are partitioned.
 
 Defined results: a null or empty page has an empty text; a page alone on its host isn't differenced; equal pages
-next to each other (the same URL path and the same html) are no evidence and are passed over; rows are returned each
+next to each other are no evidence and share the nearest different ones; rows are returned each
 by itself; an empty table gives no rows.
 """
 
@@ -21,12 +22,15 @@ from __future__ import annotations
 import html as entities
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.common import keep
 from sieveline.llm.url_filters import split_url
 
 _TOKEN = regex.compile(
@@ -184,43 +188,116 @@ def main_text(page: Page, neighbours: list[Page] = ()) -> str:
     """The article's lines, or the body's without those that it has in common with a neighbour."""
     if page.marked:
         return "\n".join(b.text for b in page.blocks if b.region == "article")
-    lines = body_lines(page)
+    return own_lines(body_lines(page), [body_lines(x) for x in neighbours])
+
+
+def own_lines(lines: list[str], neighbours: list[list[str]]) -> str:
     shared: set[int] = set()
-    for other in neighbours:
-        theirs = body_lines(other)
+    for theirs in neighbours:
         if theirs != lines:
             shared |= in_common(lines, theirs)
     return "\n".join(x for i, x in enumerate(lines) if i not in shared)
 
 
+#: Of each page: its id, url, host and path, the lines of its body, and its text if it marks an article.
+Row = tuple
+#: (host, lines) of a run of pages.
+Run = tuple[str, list[str]]
+
+
+def outer(edges: dict[int, list[Run]], at: int, back: bool) -> Run | None:
+    """The nearest run with other lines beyond partition ``at``; edges: its first two and last two runs, or its only one."""
+    parts = sorted((k for k in edges if (k < at if back else k > at)), reverse=back)
+    mine = edges[at][0 if back else -1]
+    for k in parts:
+        runs = edges[k][::-1] if back else edges[k]
+        for run in runs[:2]:
+            if run[0] != mine[0]:
+                return None
+            if run != mine:
+                return run
+    return None
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Run, list[Row]]]:
+    """Runs of pages with one host and equal lines."""
+    run, pages = None, []
+    for b in batches:
+        for k in range(0, b.num_rows, 64):
+            for row in zip(*[c.to_pylist() for c in b.slice(k, 64).columns], strict=True):
+                now = (row[2], row[4])
+                if now != run:
+                    if pages:
+                        yield run, pages
+                    run, pages = now, []
+                pages.append((row[0], row[1], row[5]))
+    if pages:
+        yield run, pages
+
+
 def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url and text of every page."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     host, path = split_url(F.col(url))
     slim = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), host.alias("_host"), path.alias("_path"), F.col(html).alias("_html"))
-    near = slim.repartitionByRange("_host", "_path", "page_id").sortWithinPartitions("_host", "_path", "page_id")
+    ident, kind = slim.dtypes[0][1], to_arrow_type(slim.schema["page_id"].dataType)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                read = [blocks(x) for x in part.column(4).to_pylist()]
+                lines = pa.array([body_lines(x) for x in read], pa.list_(pa.string()))
+                text = pa.array([main_text(x) if x.marked else None for x in read], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], lines, text], names=["page_id", "url", "_host", "_path", "lines", "text"])
+
+    near = slim.mapInArrow(parse, f"page_id {ident}, url string, _host string, _path string, lines array<string>, text string")
+    # Kept, as both passes below must see the same partitions.
+    near = keep(near.repartitionByRange("_host", "_path", "page_id").sortWithinPartitions("_host", "_path", "page_id"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[Run] = []
+        last: list[Run] = []
+        for n, (run, _) in enumerate(_runs(batches)):
+            if n < 2:
+                first.append(run)
+            last = [*last[-1:], run]
+        runs = first if len(first) < 2 else first + last
+        at = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([at] * len(runs), pa.int32()), pa.array(range(len(runs)), pa.int32()), pa.array([r[0] for r in runs], pa.string()), pa.array([r[1] for r in runs], pa.list_(pa.string()))], names=["at", "n", "host", "lines"])
+
+    edges: dict[int, list[Run]] = {}
+    for r in sorted(near.mapInArrow(ends, "at int, n int, host string, lines array<string>").collect(), key=lambda r: (r["at"], r["n"])):
+        edges.setdefault(r["at"], []).append((r["host"], list(r["lines"])))
+    beyond = near.sparkSession.sparkContext.broadcast({k: (outer(edges, k, True), outer(edges, k, False)) for k in edges})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                for k in range(0, b.num_rows, 64):
-                    yield from zip(*[c.to_pylist() for c in b.slice(k, 64).columns], strict=True)
-            yield None
-
-        before = now = None  # each: (page_id, url, host, blocks)
         out: list[tuple] = []
         held = 0
-        for row in rows():
-            after = row and (row[0], row[1], row[2], blocks(row[4]))
-            if now:
-                text = main_text(now[3], [x[3] for x in (before, after) if x and x[2] == now[2]])
-                out.append((now[0], now[1], text))
-                held += len(text)
-            if out and (held > 4_000_000 or len(out) >= 1000 or row is None):
-                yield pa.RecordBatch.from_pydict({"page_id": pa.array([x[0] for x in out], kind), "url": pa.array([x[1] for x in out], pa.string()), "text": pa.array([x[2] for x in out], pa.string())})
-                out, held = [], 0
-            before, now = now, after
+        before, after = beyond.value.get(TaskContext.get().partitionId(), (None, None))
+        now = None
 
-    from pyspark.sql.pandas.types import to_arrow_type
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"page_id": pa.array([x[0] for x in out], kind), "url": pa.array([x[1] for x in out], pa.string()), "text": pa.array([x[2] for x in out], pa.string())})
 
-    kind = to_arrow_type(slim.schema["page_id"].dataType)
-    return near.mapInArrow(run, f"page_id {slim.dtypes[0][1]}, url string, text string")
+        for nxt in chain(_runs(batches), [(after, [])]):
+            if now:
+                (site, lines), here = now
+                plain = None
+                for ident_, url_, text in here:
+                    if text is None:
+                        if plain is None:
+                            plain = own_lines(lines, [x[1] for x in (before, nxt[0]) if x and x[0] == site])
+                        text = plain
+                    out.append((ident_, url_, text))
+                    held += len(text)
+                    if held > 4_000_000 or len(out) >= 1000:
+                        yield batch()
+                        out, held = [], 0
+                before = now[0]
+            now = nxt
+        if out:
+            yield batch()
+
+    return near.mapInArrow(run, f"page_id {ident}, url string, text string")

@@ -303,6 +303,21 @@ def test_html_differencing(spark):
     assert htmltext.extract(empty(df)).count() == 0
 
 
+def test_html_differencing_at_any_partitioning(spark):
+    common = "<p>Site name</p><p>{}</p><p>Contact us</p>"
+    own = ["a"] * 5 + ["b", "c", "c", "c"] + ["d"] * 7
+    df = spark.createDataFrame([(k, f"https://h.example/{k:03d}", common.format(x)) for k, x in enumerate(own)], "page_id long, url string, html string")
+    for n in ("1", "3", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = {r["page_id"]: r["text"] for r in rows(htmltext.extract(df))}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert [got[k] for k in range(len(own))] == own
+
+
 def test_html_pages_are_the_articles(spark):
     pages = rows(spark.read.parquet(f"{SF}/pages.parquet"))
     got = {r["page_id"]: r["text"] for r in rows(htmltext.extract(spark.read.parquet(f"{SF}/pages.parquet")))}
