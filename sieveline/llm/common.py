@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,13 +43,41 @@ def window_hash(hashes: Column, start: Column, width: int, function=F.xxhash64)
     return function(*[F.get(hashes, start + k) for k in range(width)])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Only a local session without one, as in tests, gets a folder of its own:
+    on a cluster a folder of one machine would be lost with it, so that there its lack is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="sieveline-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the cluster shares.
+    """Cuts the lineage with a reliable checkpoint in the shared folder; partitions and their order stay."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one, as in tests, gets a
-    folder of its own.
-    """
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder: compressed, but without its partitions' order."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sieveline-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/sieveline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores before it as no column of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def packed(df: DataFrame, **parts: Column) -> DataFrame:
+    """The frame's columns as one struct ``_row`` beside the given columns, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in parts.items()])

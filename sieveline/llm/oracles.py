@@ -45,12 +45,16 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 
 _Q = lambda x: rf"""('"' || replace(replace(replace(replace(replace({x}, '\', '\\'), '"', '\"'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r') || '"')"""
 
+_ANSWERS = ", ".join(f"'{r}'" for r in chat.ANSWERS)
+
 OP3 = f"""
-WITH t AS (SELECT conv_id, turn, role, text, count(*) FILTER (role = 'user') OVER w AS u, count(*) FILTER (role = 'assistant') OVER w AS a FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-c AS (SELECT conv_id, 'r' || u AS call_id, u - 1 AS level, text, turn FROM t WHERE role = 'user'), r AS (SELECT conv_id, 'r' || a AS call_id, text, turn FROM t WHERE role = 'assistant'),
-j AS (SELECT conv_id, call_id, c.level::INTEGER AS level, c.turn AS call_place, r.turn AS result_place, c.text AS said, r.text AS got,
- CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'pending' WHEN r.turn < c.turn THEN 'early' ELSE 'linked' END AS state FROM c FULL JOIN r USING (conv_id, call_id))
+WITH RECURSIVE c AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'respond' WHEN 'system' THEN 'configure' ELSE 'note' END AS tool FROM conversations WHERE role NOT IN ({_ANSWERS})),
+r AS (SELECT conv_id, turn, text, turn - 1 AS asked FROM conversations WHERE role IN ({_ANSWERS})),
+need AS (SELECT c.conv_id, c.turn, max(p.turn) AS prior FROM c LEFT JOIN c p ON p.conv_id = c.conv_id AND p.turn IN (c.turn - 1, c.turn - 2) GROUP BY ALL),
+lv AS (SELECT conv_id, turn, 0 AS level FROM need WHERE prior IS NULL UNION ALL SELECT n.conv_id, n.turn, lv.level + 1 FROM need n JOIN lv ON n.conv_id = lv.conv_id AND n.prior = lv.turn),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, 'turn:' || coalesce(c.turn, r.asked) AS call_id, lv.level, c.turn AS call_place, r.turn AS result_place, c.text AS said, r.text AS got, tool,
+ CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'pending' ELSE 'linked' END AS state FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.asked LEFT JOIN lv ON lv.conv_id = c.conv_id AND lv.turn = c.turn)
 SELECT conv_id, call_id, state, coalesce(level, -1)::INTEGER AS level, coalesce(call_place, -1) AS call_place, coalesce(result_place, -1) AS result_place, 0::BIGINT AS n_problems,
  '{{' || concat_ws(',', CASE WHEN call_place IS NOT NULL THEN '"arguments":{{"text":' || {_Q('said')} || ',"turn":' || call_place || '}}' END, CASE WHEN result_place IS NOT NULL THEN '"content":' || {_Q('got')} END,
- '"id":' || {_Q('call_id')}, CASE WHEN call_place IS NOT NULL THEN '"name":"{next(iter(chat.SCHEMAS))}"' END, '"state":"' || state || '"') || '}}' AS json FROM j
+ '"id":' || {_Q('call_id')}, '"name":"' || tool || '"', '"state":"' || state || '"') || '}}' AS json FROM j
 """

@@ -21,8 +21,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     parts = [a.unionByName(b) for a, b in zip(chat.dialogue(turns), chat.embedded(turns), strict=True)]
-    absent = {c: F.coalesce(F.col(c), F.lit(-1)) for c in ("level", "call_place", "result_place")}
-    return chat.formatted(*parts).withColumns(absent)
+    f = chat.formatted(*parts)
+    absent = {c: F.coalesce(F.col(f"{c}.turn"), F.lit(-1)) for c in ("call_place", "result_place")}
+    return f.withColumns({**absent, "level": F.coalesce("level", F.lit(-1)), "n_problems": F.size("problems").cast("long")}).drop("problems")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

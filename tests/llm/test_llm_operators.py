@@ -473,7 +473,8 @@ def test_chat(spark):
     assert by[1, "a", 0]["result_place"] == 10 and by[1, "a", 4]["result_place"] == 11
     assert [by[1, k, p]["level"] for k, p in (("a", 0), ("b", 1), ("c", 2), ("d", 3))] == [0, 1, 2, 0]
     assert by[2, "p", 0]["level"] is None and by[2, "q", 1]["level"] is None
-    assert [by[1, k, p]["n_problems"] for k, p in (("a", 0), ("b", 1), ("c", 2), ("d", 3))] == [0, 1, 1, 1] and by[1, "e", 5]["n_problems"] > 0
+    assert [by[1, k, p]["problems"] for k, p in (("a", 0), ("b", 1), ("c", 2), ("d", 3))] == [[], ["x is no integer"], ["missing x"], ["unknown tool"]]
+    assert by[1, "e", 5]["problems"] == ["no JSON", "missing x", "missing y"]
     assert by[1, "z", None]["state"] == "orphan" and by[1, "b", 1]["state"] == "early" and by[2, "q", 1]["state"] == "pending"
     assert by[2, "p", 0]["json"] == '{"arguments":{"x":1,"y":1},"content":"say \\"hi\\"\\n\\u0001","id":"p","name":"add","state":"linked"}'
     assert rows(chat.formatted(empty(c), empty(r), empty(e), schema)) == []
@@ -489,11 +490,80 @@ def test_chat_embedded(spark):
     assert len(got) == 1 and got[0]["state"] == "linked" and got[0]["json"] == '{"arguments":{"text":"t","turn":1},"content":"ok","id":"k","name":"respond","state":"linked"}'
 
 
+def test_chat_arguments_are_typed_and_canonical(spark):
+    schema = {"t": {"i": ("integer", True), "s": ("string", False), "n": ("number", False), "b": ("boolean", False), "a": ("array", False), "o": ("object", False)}}
+    given = [
+        ('{ "s" : "x", "i": 1 }', [], '{"i":1,"s":"x"}'), ('{"i":1,"s":"x"}', [], '{"i":1,"s":"x"}'), ('"{\\"s\\":\\"x\\",\\"i\\":1}"', [], '{"i":1,"s":"x"}'),
+        ('{"i":"1"}', ["i is no integer"], '{"i":"1"}'), ('{"i":1,"s":5}', ["s is no string"], '{"i":1,"s":5}'), ('{"i":1.5}', ["i is no integer"], '{"i":1.5}'),
+        ('{"i":1,"n":2.50,"b":true,"a":[{"z":1,"y":null}],"o":{"q":{"d":1,"c":2}}}', [], '{"a":[{"y":null,"z":1}],"b":true,"i":1,"n":2.5,"o":{"q":{"c":2,"d":1}}}'),
+        ('{"i":1,"a":{},"o":[]}', ["a is no array", "o is no object"], '{"a":{},"i":1,"o":[]}'), ('{"i":null}', ["i is no integer"], '{"i":null}'),
+        ('{"i":1,"zz":2,"k":3}', ["unexpected k", "unexpected zz"], '{"i":1,"k":3,"zz":2}'), ("[1]", ["no object", "missing i"], "[1]"), ('{"i":1,"i":2}', ["no JSON", "missing i"], '"{\\"i\\":1,\\"i\\":2}"'),
+        (None, ["no JSON", "missing i"], "null"), ("", ["no JSON", "missing i"], '""'),
+    ]
+    c = spark.createDataFrame([(1, f"c{k:02}", "t", g[0], k, "clash", "x") for k, g in enumerate(given)], "conv_id long, call_id string, name string, arguments string, place long, node string, level string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, content string, needs string, place long")
+    got = sorted(rows(chat.formatted(c, none, none, schema)), key=lambda r: r["call_id"])
+    for g, (_, bad, said) in zip(got, given, strict=True):
+        assert g["problems"] == bad and g["json"].startswith('{"arguments":' + said + ',"id"'), g
+
+
+def test_chat_levels_as_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    edges = []
+    for conv in range(40):
+        n = rnd.randrange(2, 12)
+        for _ in range(rnd.randrange(0, 2 * n)):
+            a, b = rnd.sample(range(n), 2)
+            edges.append((conv, str(max(a, b)), str(min(a, b))) if conv % 3 else (conv, str(a), str(b)))
+        edges.append((conv, "0", "gone"))
+    edges += [(50, str(k), str(k - d)) for k in range(3, 400) for d in (1, 2, 3)]  # each builds on the three before it
+    edges += [(51, str(k), str(k - 1)) for k in range(1, 10_000)]
+    names = {(c, x) for c, a, b in edges for x in (a, b) if x != "gone"} | {(c, str(k)) for c in range(40) for k in range(12)}
+    needs = defaultdict(set)
+    for c, a, b in edges:
+        if (c, b) in names:
+            needs[c, a].add((c, b))
+    want, left = {}, set(names)
+    while ready := {x for x in left if all(y in want for y in needs[x])}:
+        for x in ready:
+            want[x] = 1 + max((want[y] for y in needs[x]), default=-1)
+        left -= ready
+    calls = spark.createDataFrame([*names, (None, "x"), (7, None)], "conv_id long, call_id string")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in rows(chat.levels(calls, spark.createDataFrame(edges, "conv_id long, call_id string, needs string")))}
+    assert got == {x: want.get(x) for x in names} and left and max(want.values()) == 9_999
+
+
+def test_chat_repeated_and_null_identifiers(spark):
+    c = spark.createDataFrame([(1, "a", "t", "{}", k) for k in range(50)] + [(1, None, "t", "{}", 0)] * 2 + [(None, "a", "t", "{}", 0)], "conv_id long, call_id string, name string, arguments string, place long")
+    r = spark.createDataFrame([(1, "a", f"r{k}", 100 + k) for k in range(45)] + [(1, None, "n", 1), (None, None, None, None)], "conv_id long, call_id string, content string, place long")
+    none = spark.createDataFrame([], "conv_id long, call_id string, needs string")
+    got = rows(chat.formatted(c, r, none, {"t": {}}))
+    assert Counter(g["state"] for g in got) == {"linked": 45, "pending": 8, "orphan": 2}
+    assert all(g["result_place"] == g["call_place"] + 100 for g in got if g["state"] == "linked")
+
+
+def test_chat_odd_turns(spark):
+    turns = spark.createDataFrame([
+        (1, 0, "system", "s", "x"), (1, 1, "user", "u" * 2_000_000, "x"), (1, 2, "assistant", "a", "x"), (1, 3, "user", None, "x"), (1, 3, "user", "again", "x"), (1, 5, "assistant", "b", "x"),
+        (1, 6, None, "c", "x"), (1, None, "user", "d", "x"), (None, 0, "user", "e", "x"), (None, None, None, None, None), (1, 8, "tool", "", "x"),
+    ], "conv_id long, turn long, role string, text string, call_id string")
+    got = rows(chat.formatted(*chat.dialogue(turns)))
+    assert len(got) == 10
+    by = {(g["conv_id"], g["call_id"], g["call_place"] and g["call_place"]["turn"]): g for g in got}
+    assert by[1, "turn:0", 0]["state"] == "pending" and by[1, "turn:0", 0]["level"] == 0
+    assert by[1, "turn:1", 1]["state"] == "linked" and by[1, "turn:1", 1]["level"] == 1 and len(by[1, "turn:1", 1]["json"]) > 2_000_000
+    assert by[1, "turn:3", 3]["level"] == 2 and by[1, "turn:4", None]["state"] == by[1, "turn:7", None]["state"] == "orphan"
+    assert sorted(map(tuple, (g["problems"] for g in got if g["call_id"] == "turn:3"))) == [(), ("text is no string",)]
+    assert by[1, "turn:6", 6]["problems"] == ["unknown tool"] and by[None, "turn:0", 0]["level"] is None
+
+
 def test_chat_table(spark):
     got = rows(queries.op3_chat_formatting(spark, SF))
     turns = rows(spark.read.parquet(f"{SF}/conversations.parquet"))
-    users = sum(t["role"] == "user" for t in turns)
-    assert sum(g["call_place"] >= 0 for g in got) == users
+    asked = sum(t["role"] != "assistant" for t in turns)
+    assert sum(g["call_place"] >= 0 for g in got) == asked and sum(g["result_place"] >= 0 for g in got) == len(turns) - asked
     import json
 
     for g in got:
