@@ -1,20 +1,26 @@
-"""Main text of web pages, by page structure and nearest-URL page differencing.
-
-A page is cut into text blocks, each with the kind of region that it stands in. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are known by their elements, roles and class names.
-If a page marks its article, the text is what the article holds. If it doesn't, the page is differenced against
-the pages with the nearest URL paths on its host: their lines are aligned by a longest common subsequence and the
-lines in common are deleted, since what two neighbours share in the same order is the site's and not the page's.
-Lines in a marked article are not deleted, as articles quote the same passages.
-
-Pages are parsed, range-partitioned by (host, path) and sorted, so that a page's neighbours are the rows next to it
-and a host with a third of all pages still fills many tasks. Pages next to each other with equal lines are one run; each
-run is compared to the run before and the run after it. The driver hands the lines of the first two and last two runs
-of each partition on, so that the runs at its edges have both neighbours too, however the pages are partitioned.
-
-Defined results: a null or empty page has an empty text; a page alone on its host isn't differenced; equal pages
-next to each other are no evidence and share the nearest different ones; rows are returned each
-by itself; an empty table gives no rows.
+"""Main text of web pages, by nearest-URL page differencing and page structure.
+
+A page is cut into text blocks, each with the kind of region that it stands in. Every page is differenced against the
+pages with the nearest URL paths on its host: their lines are aligned by a longest common subsequence, and what two
+neighbours share in the same order is the site's and not the page's. Structure weighs that evidence: menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by their elements, roles and class
+names, go in any case, and so does what stands beside a marked article; the lines of a marked article stay, as articles
+quote the same passages. Shared lines that neither holds for are deleted.
+
+Class names are words of a list. Outside an article one such word is enough; inside, a class must consist of them and of
+words for containers, so that ``related-posts`` goes and ``related-work`` stays.
+
+First, the pages' lines are hashed, range-partitioned by (host, path) and sorted, so that a page's neighbours are the
+rows next to it and a host with a third of all pages still fills many tasks. Pages next to each other with equal lines are
+one run; each run is compared to the run before and the run after it. The driver hands the hashes of the first two and
+last two runs of each partition on, so that the runs at its edges have both neighbours too, however the pages are
+partitioned. What is to be deleted is a table of line numbers, empty for most pages, and joined back to them: the pages
+themselves are shuffled only if that table is large.
+
+Defined results: a null or empty page has an empty text; a null url is a host of its own; a very long page is read
+whole, in one task's memory; a page alone on its host has nothing to be differenced against; equal pages next to each
+other are no evidence and share the nearest different ones; of equal paths the smaller id comes first; repeated rows are
+returned each by itself; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import keep
+from sieveline.llm.common import keep, written
 from sieveline.llm.url_filters import split_url
 
 _TOKEN = regex.compile(
@@ -52,6 +59,8 @@ NAMED = frozenset(
     "comment comments reply replies disqus discussion respond share sharing social related recommended newsletter subscribe subscription signup login search "
     "widget copyright contentinfo complementary skip".split()
 )
+#: Words of class names that say nothing beside one of those; fixed values.
+CONTAINERS = frozenset("area bar block body bottom box button buttons container content form group icon icons inner item items left link links list main outer panel post posts right row section slot text title top unit wrap wrapper".split())
 #: Headings in a header of the article are the article's.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Open elements that a new one of the same kind ends.
@@ -79,12 +88,15 @@ class Page:
         return any(b.region == "article" for b in self.blocks)
 
 
-def _named(rest: str) -> bool:
+def _named(rest: str, inside: bool) -> bool:
+    """Whether class, id or role name what isn't the article; ``inside`` an article a whole class must."""
     for m in _ATTRIBUTE.finditer(rest):
-        name = m[1].lower()
-        value = m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and any(w.lower() in NAMED for w in _WORD.findall(value)):
-            return True
+        if m[1].lower() not in ("class", "id", "role"):
+            continue
+        for token in (m[2] or m[3] or m[4] or "").split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            if any(w in NAMED for w in words) and (not inside or all(w in NAMED or w in CONTAINERS for w in words)):
+                return True
     return False
 
 
@@ -123,7 +135,7 @@ def blocks(text: str | None) -> Page:
             continue
         if name not in INLINE:
             close_block()
-        elif _named(m["rest"]) and stack[-1].region != "dropped":
+        elif stack[-1].region != "dropped" and _named(m["rest"], stack[-1].region == "article"):
             close_block()
         if name in VOID or m["rest"].endswith("/") and name not in RAW and name not in INLINE and name != "p":
             continue
@@ -140,7 +152,7 @@ def blocks(text: str | None) -> Page:
                 stack.pop()
             region = stack[-1].region
         if region != "dropped":
-            if name in DROPPED or name == "header" or name not in ("html", "body", "article", "main") and _named(m["rest"]):
+            if name in DROPPED or name == "header" or name not in ("html", "body", "main") and _named(m["rest"], region == "article" or name == "article"):
                 region = "dropped"
             elif name == "article":
                 region = "article"
@@ -155,18 +167,39 @@ def blocks(text: str | None) -> Page:
     return page
 
 
-def in_common(a: list[str], b: list[str]) -> set[int]:
-    """The places in ``a`` of one longest common subsequence; rows of the table are bits of one number each."""
-    places: dict[str, int] = {}
+#: Bits of the table of a longest common subsequence up to which it is held whole.
+TABLE = 1 << 28
+
+
+def _row(v: int, hit: int, full: int) -> int:
+    u = v & hit
+    return ((v + u) | (v - u)) & full
+
+
+def _table(a: list, b: list) -> Iterator[int]:
+    """A row for each start of ``b``, from none: bit i is zero where the i-th of ``a`` makes the subsequence longer."""
+    places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v, rows = full, [full]
+    full = v = (1 << len(a)) - 1
+    yield v
     for y in b:
-        hit = places.get(y, 0)
-        u = v & hit
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
+        v = _row(v, places.get(y, 0), full)
+        yield v
+
+
+def in_common(a: list, b: list) -> set[int]:
+    """The places in ``a`` of one longest common subsequence."""
+    there, here = set(b), set(a)
+    at, b = [i for i, x in enumerate(a) if x in there], [y for y in b if y in here]
+    a = [a[i] for i in at]
+    if len(a) * len(b) > TABLE and len(a) > 1:  # the halves of ``a`` against the parts of ``b`` that are best for both
+        half = len(a) // 2
+        up = [half - v.bit_count() for v in _table(a[:half], b)]
+        down = [len(a) - half - v.bit_count() for v in _table(a[half:][::-1], b[::-1])][::-1]
+        cut = max(range(len(b) + 1), key=lambda j: up[j] + down[j])
+        return {at[i] for i in in_common(a[:half], b[:cut])} | {at[half + i] for i in in_common(a[half:], b[cut:])}
+    rows = list(_table(a, b))
     out, i, j = set(), len(a) - 1, len(b)
     while i >= 0 and j > 0:  # a zero bit is where the length grows
         if rows[j] >> i & 1:
@@ -174,35 +207,34 @@ def in_common(a: list[str], b: list[str]) -> set[int]:
         elif not rows[j - 1] >> i & 1:
             j -= 1
         else:
-            out.add(i)
+            out.add(at[i])
             i -= 1
             j -= 1
     return out
 
 
-def body_lines(page: Page) -> list[str]:
-    return [b.text for b in page.blocks if b.region == "body"]
+def lines(page: Page) -> list[str]:
+    """What is compared: all lines but those of dropped regions."""
+    return [b.text for b in page.blocks if b.region != "dropped"]
 
 
-def main_text(page: Page, neighbours: list[Page] = ()) -> str:
-    """The article's lines, or the body's without those that it has in common with a neighbour."""
+def main_text(page: Page, shared: set[int] = frozenset()) -> str:
+    """The lines of a marked article, or else all lines but the shared ones, given by their places."""
     if page.marked:
         return "\n".join(b.text for b in page.blocks if b.region == "article")
-    return own_lines(body_lines(page), [body_lines(x) for x in neighbours])
+    return "\n".join(x for i, x in enumerate(lines(page)) if i not in shared)
 
 
-def own_lines(lines: list[str], neighbours: list[list[str]]) -> str:
+def shared_lines(mine: list, neighbours: list[list]) -> set[int]:
     shared: set[int] = set()
     for theirs in neighbours:
-        if theirs != lines:
-            shared |= in_common(lines, theirs)
-    return "\n".join(x for i, x in enumerate(lines) if i not in shared)
+        if theirs != mine:
+            shared |= in_common(mine, theirs)
+    return shared
 
 
-#: Of each page: its id, url, host and path, the lines of its body, and its text if it marks an article.
-Row = tuple
-#: (host, lines) of a run of pages.
-Run = tuple[str, list[str]]
+#: (host, hashes of the lines) of a run of pages.
+Run = tuple[str, list[int]]
 
 
 def outer(edges: dict[int, list[Run]], at: int, back: bool) -> Run | None:
@@ -219,42 +251,40 @@ def outer(edges: dict[int, list[Run]], at: int, back: bool) -> Run | None:
     return None
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Run, list[Row]]]:
-    """Runs of pages with one host and equal lines."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Run, list[tuple]]]:
+    """Runs of pages (page_id, key) with one host and equal lines; of marked pages only the run is told."""
     run, pages = None, []
     for b in batches:
-        for k in range(0, b.num_rows, 64):
-            for row in zip(*[c.to_pylist() for c in b.slice(k, 64).columns], strict=True):
-                now = (row[2], row[4])
-                if now != run:
-                    if pages:
+        for k in range(0, b.num_rows, 256):
+            for host, _, page, key, said, marked in zip(*[c.to_pylist() for c in b.slice(k, 256).columns], strict=True):
+                if (host, said) != run:
+                    if run:
                         yield run, pages
-                    run, pages = now, []
-                pages.append((row[0], row[1], row[5]))
-    if pages:
+                    run, pages = (host, said), []
+                if not marked and (page, key) != (pages[-1] if pages else None):
+                    pages.append((page, key))
+    if run:
         yield run, pages
 
 
-def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url and text of every page."""
+def _cuts(slim: DataFrame) -> DataFrame:
+    """page_id, _key and the places of the shared lines of each page that isn't marked and has any."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    host, path = split_url(F.col(url))
-    slim = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), host.alias("_host"), path.alias("_path"), F.col(html).alias("_html"))
     ident, kind = slim.dtypes[0][1], to_arrow_type(slim.schema["page_id"].dataType)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                read = [blocks(x) for x in part.column(4).to_pylist()]
-                lines = pa.array([body_lines(x) for x in read], pa.list_(pa.string()))
-                text = pa.array([main_text(x) if x.marked else None for x in read], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], lines, text], names=["page_id", "url", "_host", "_path", "lines", "text"])
+                read = [blocks(x) for x in part.column(5).to_pylist()]
+                said = pa.array([[xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines(p)] for p in read], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(0), part.column(4), said, pa.array([p.marked for p in read], pa.bool_())], names=["_host", "_path", "page_id", "_key", "said", "marked"])
 
-    near = slim.mapInArrow(parse, f"page_id {ident}, url string, _host string, _path string, lines array<string>, text string")
+    order = ("_host", "_path", "page_id", "_key")
+    near = slim.mapInArrow(parse, f"_host string, _path string, page_id {ident}, _key long, said array<long>, marked boolean")
     # Kept, as both passes below must see the same partitions.
-    near = keep(near.repartitionByRange("_host", "_path", "page_id").sortWithinPartitions("_host", "_path", "page_id"))
+    near = keep(near.repartitionByRange(*order).sortWithinPartitions(*order))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: list[Run] = []
@@ -265,39 +295,53 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
             last = [*last[-1:], run]
         runs = first if len(first) < 2 else first + last
         at = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([at] * len(runs), pa.int32()), pa.array(range(len(runs)), pa.int32()), pa.array([r[0] for r in runs], pa.string()), pa.array([r[1] for r in runs], pa.list_(pa.string()))], names=["at", "n", "host", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array([at] * len(runs), pa.int32()), pa.array(range(len(runs)), pa.int32()), pa.array([r[0] for r in runs], pa.string()), pa.array([r[1] for r in runs], pa.list_(pa.int64()))], names=["at", "n", "host", "said"])
 
     edges: dict[int, list[Run]] = {}
-    for r in sorted(near.mapInArrow(ends, "at int, n int, host string, lines array<string>").collect(), key=lambda r: (r["at"], r["n"])):
-        edges.setdefault(r["at"], []).append((r["host"], list(r["lines"])))
+    # Four rows a partition at most.
+    for r in sorted(near.mapInArrow(ends, "at int, n int, host string, said array<long>").collect(), key=lambda r: (r["at"], r["n"])):
+        edges.setdefault(r["at"], []).append((r["host"], list(r["said"])))
     beyond = near.sparkSession.sparkContext.broadcast({k: (outer(edges, k, True), outer(edges, k, False)) for k in edges})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        held = 0
         before, after = beyond.value.get(TaskContext.get().partitionId(), (None, None))
         now = None
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"page_id": pa.array([x[0] for x in out], kind), "url": pa.array([x[1] for x in out], pa.string()), "text": pa.array([x[2] for x in out], pa.string())})
+            return pa.RecordBatch.from_pydict({"page_id": pa.array([x[0] for x in out], kind), "_key": pa.array([x[1] for x in out], pa.int64()), "shared": pa.array([x[2] for x in out], pa.list_(pa.int32()))})
 
         for nxt in chain(_runs(batches), [(after, [])]):
             if now:
-                (site, lines), here = now
-                plain = None
-                for ident_, url_, text in here:
-                    if text is None:
-                        if plain is None:
-                            plain = own_lines(lines, [x[1] for x in (before, nxt[0]) if x and x[0] == site])
-                        text = plain
-                    out.append((ident_, url_, text))
-                    held += len(text)
-                    if held > 4_000_000 or len(out) >= 1000:
-                        yield batch()
-                        out, held = [], 0
+                (site, said), here = now
+                if here and (shared := sorted(shared_lines(said, [x[1] for x in (before, nxt[0]) if x and x[0] == site]))):
+                    for page, key in here:
+                        out.append((page, key, shared))
+                        if len(out) >= 1000:
+                            yield batch()
+                            out = []
                 before = now[0]
             now = nxt
         if out:
             yield batch()
 
-    return near.mapInArrow(run, f"page_id {ident}, url string, text string")
+    return near.mapInArrow(run, f"page_id {ident}, _key long, shared array<int>").dropDuplicates(["page_id", "_key"])
+
+
+def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """page_id, url and text of every page."""
+    link, body = F.col(f"`{url}`"), F.col(f"`{html}`")
+    host, path = split_url(link)
+    slim = pages.select(F.col(f"`{page}`").alias("page_id"), link.alias("url"), host.alias("_host"), path.alias("_path"), F.xxhash64(link, body).alias("_key"), body.alias("_html"))
+    # Written, so that its size is known: it is sent to all tasks if it is small.
+    cuts = written(_cuts(slim)).select(F.col("page_id").alias("_p"), F.col("_key").alias("_k"), "shared")
+    both = slim.join(cuts, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_key") == F.col("_k")), "left").select("page_id", "url", "_html", "shared")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                text = [main_text(blocks(x), frozenset(shared or ())) for x, shared in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    return both.mapInArrow(read, f"page_id {slim.dtypes[0][1]}, url string, text string")

@@ -5,12 +5,14 @@ rank. A document's own most frequent n-grams are compared to each profile: the o
 far each n-gram's rank is from its rank in the profile, and TOP for one that the profile lacks.
 
 Learning counts the n-grams of all training rows: each task folds its documents to counts, which are summed by
-(language, n-gram); only TOP n-grams of each language reach the driver. Languages are labels, so their number is
-bounded; more than ``MOST_LANGUAGES`` raise an error. Prediction is one narrow stage over whole texts.
+(language, n-gram); only TOP n-grams of each language reach the driver and, from there, the tasks: 3 MB for every
+thousand languages. Prediction is one narrow stage over whole texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every
-text is; ties go to the smaller n-gram and to the first language by name; rows with a null language are not
-learned from, and neither id, source nor language is an input of a prediction.
+text is; ties go to the smaller n-gram and to the first language by name; a very long text is read whole, in one task's
+memory; repeated rows count each by itself, in learning too; rows with a null language are not learned from, and neither
+id, source nor language is an input of a prediction; other columns pass through ``predicted`` but those named as its
+results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.llm.common import fresh
+
 TOP = 400
-MOST_LANGUAGES = 1000
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 #: Code points fit 21 bits, so that three of them fit one 63-bit key; absent letters are 0.
@@ -106,16 +109,15 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     last = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = sums.withColumn("_salt", F.pmod(F.col("gram"), F.lit(64))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= TOP)
     best = best.withColumn("r", F.row_number().over(last)).where(F.col("r") <= TOP).select("lang", "gram", "r")
-    got = best.limit(MOST_LANGUAGES * TOP + 1).toPandas()
-    if len(got) > MOST_LANGUAGES * TOP:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    got = best.toPandas()  # TOP rows a language
     return {n: g.sort_values("r")["gram"].to_numpy(np.int64) for n, g in got.groupby("lang")}
 
 
 def predicted(docs: DataFrame, ranks: dict[str, np.ndarray], text: str = "text") -> DataFrame:
     """The documents with lang_pred and score instead of their text."""
-    held = docs.sparkSession.sparkContext.broadcast(ranks)  # at most MOST_LANGUAGES * TOP numbers
-    names = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    held = docs.sparkSession.sparkContext.broadcast(ranks)  # TOP numbers a language
+    names = [c for c in docs.columns if c.lower() not in (text.lower(), "lang_pred", "score")]
+    body = fresh("_text", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Profiles(held.value)
@@ -123,7 +125,7 @@ def predicted(docs: DataFrame, ranks: dict[str, np.ndarray], text: str = "text")
             said = [p.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    slim = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("_text"))
+    slim = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(body))
     fields = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes[:-1])
     return slim.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
@@ -133,5 +135,3 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, doc: str = "doc_id"
     out = F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
     ranks = learn(docs.where(~out), text, lang)
     return predicted(docs.select(F.col(doc).alias("doc_id"), out.alias("held_out"), F.col(text).alias("_body")), ranks, "_body")
-
-

@@ -11,8 +11,14 @@ to blocks, and the blocks and the documents within each are ordered by hashes of
 pass ends with the document that fills the budget. Running totals are taken within (source, block), so that a
 source with a third of all rows is still dealt over many tasks.
 
-Defined results: a null source is a source of its own; a document without words counts one token, so that it can
-be placed; repeated rows are placed each by itself; an empty table gives no rows; extra columns pass through.
+The number of blocks grows with the table, so that the order in which a document is dealt is a function of the table,
+the seed and the document, and not of the document alone.
+
+Defined results: a null source is a source of its own; a document without words, or a null text, counts one token, so
+that it can be placed; a text is counted whole, however long; repeated rows are placed each by itself, in any order
+among themselves; ties of the order are broken by id and checksum; extra columns pass through, whatever their names -
+they travel as one struct; of input columns that bear the name of an added one the added one is given; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import WORD, keep
+from sieveline.llm.common import WORD, packed, written
 
 GRID = 33
 SEARCH_ROUNDS = 8
@@ -28,6 +34,7 @@ SEARCH_ROUNDS = 8
 LEAST_BLOCKS, BLOCK_ROWS = 64, 1 << 16
 #: No document is seen more than twice, and half of the smallest sources' documents twice.
 REPEAT_LIMIT = 1.5
+ADDED = ("_n_tokens", "_weight", "_passes", "_pass", "_block", "_order")
 
 
 def tokens(text: Column) -> Column:
@@ -66,14 +73,13 @@ def mixed(
     seed: int = 5, doc: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
     """Every placement of every document: its own columns, then _n_tokens, _weight, _passes, _pass, _block and _order."""
-    own = docs.columns
-    key = F.struct(F.coalesce(F.col(source), F.lit("")), F.col(source).isNull()).alias("_src")
-    a = docs.select(*own, key, tokens(F.col(text)).alias("_n_tokens"), F.xxhash64(F.lit(seed), F.col(doc), F.col(text)).alias("_h"))
+    name, ident, body = (F.col(f"`{c}`") for c in (source, doc, text))
+    a = packed(docs, _src=F.struct(F.coalesce(name, F.lit("")), name.isNull()), _doc=ident, _n_tokens=tokens(body), _h=F.xxhash64(F.lit(seed), ident, body))
     n_blocks = max(LEAST_BLOCKS, docs.count() // BLOCK_ROWS)
     a = a.withColumn("_block", F.pmod(F.col("_h"), F.lit(n_blocks)).cast("int"))
     blocks = a.groupBy("_src", "_block").agg(F.sum("_n_tokens").alias("b"))
     # Kept, as every step of the search reads it, and the texts are to be counted once.
-    blocks = keep(blocks.withColumn("_turn", F.xxhash64(F.lit(seed + 1), "_src", "_block")))
+    blocks = written(blocks.withColumn("_turn", F.xxhash64(F.lit(seed + 1), "_src", "_block")))
     sources = blocks.groupBy("_src").agg(F.sum("b").alias("n_tokens"))
     whole = sources.agg(F.sum("n_tokens").alias("t")).first()["t"] or 1
     e = exponent(sources, repeat_limit, target_entropy)
@@ -85,14 +91,16 @@ def mixed(
     # Tokens before each block, in the order of the last pass; a source has n_blocks rows at most.
     w = Window.partitionBy("_src").orderBy("_turn", "_block").rowsBetween(Window.unboundedPreceding, -1)
     before = blocks.withColumn("_before", F.coalesce(F.sum("b").over(w), F.lit(0))).join(weights, "_src")
-    before = before.select(F.col("_src").alias("_s"), F.col("_block").alias("_b"), "_before", "_weight", "_passes", "n_tokens", "_turn")
+    before = before.select(F.col("_src").alias("_s"), F.col("_block").alias("_b"), "_before", "_weight", "_passes", "n_tokens")
+    before = written(before)  # so that its size is known: it is sent to all tasks if it is small
     # The join and the window share one exchange by (source, block).
     full = F.floor(F.col("_passes") + 1e-9)
     rest = F.greatest(F.lit(0.0), (F.col("_passes") - full) * F.col("n_tokens"))
     d = a.join(before, (F.col("_src") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-    inner = Window.partitionBy("_src", "_block").orderBy("_h", doc)
+    inner = Window.partitionBy("_src", "_block").orderBy("_h", "_doc")
     d = d.withColumn("_sofar", F.col("_before") + F.sum("_n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n_tokens"))
     n = (full + F.when((rest > 0.5) & (F.col("_sofar") < rest), 1).otherwise(0)).cast("int")
     d = d.withColumn("_copies", n).where("_copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     order = F.xxhash64(F.lit(seed), F.col("_pass"), F.col("_h"))
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ADDED]
     return d.select(*own, "_n_tokens", "_weight", "_passes", "_pass", "_block", order.alias("_order"))

@@ -3,8 +3,10 @@
 Every measure is an expression over the row itself, so the operator is one narrow stage: no shuffle, no
 broadcast, no state, whatever the size or skew of the table.
 
-Defined results: a null or empty text has no words and fails; repeated rows are judged each by itself; other
-columns are passed through untouched and an input column that bears the name of a measure is replaced.
+Defined results: a null or empty text has no words and fails; a text is measured whole, however long - one whose
+words do not fit a task's memory twice fails with Spark's own error; repeated rows are judged each by itself, so ties
+don't occur; other columns are passed through untouched, whatever their names - they travel as one struct - and only an
+input column that bears the name of a measure is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import SPACE_RUN, WORD, window_hash
+from sieveline.llm.common import SPACE_RUN, WORD, packed, window_hash
 
 WINDOW = 8
 SYMBOLS = "[^#*$%&|<>]+"
@@ -54,11 +56,11 @@ def _n(array: Column) -> Column:
     return F.size(array).cast("long")
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures of each document beside its own columns."""
-    own = [c for c in docs.columns if c not in MEASURES]
-    body = F.coalesce(F.col(text), F.lit(""))
-    a = docs.select(*own, body.alias("_t"), F.filter(F.split(body, SPACE_RUN), lambda w: w != "").alias("_w"))
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """_row (the document's own columns), its measures, and _at."""
+    own = ["_row"]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    a = packed(docs, _t=body, _w=F.filter(F.split(body, SPACE_RUN), lambda w: w != ""))
     a = a.select(
         *own, "_t", "_w",
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD)).alias("_l"),
@@ -124,14 +126,17 @@ def compiled(rules: tuple[Rule, ...] = THRESHOLDS) -> Column:
     return ok
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text: str = "text") -> DataFrame:
-    """The measures, ``base_failed`` (under 20 words, or over 30 % of words in repeated windows) and ``kept``."""
+def _judged(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:
     bad = (F.col("_at") < 0) | (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return measures(docs, text).withColumn("base_failed", bad).withColumn("kept", ~F.col("base_failed") & compiled(rules)).drop("_at")
+    return _measured(docs, text).withColumn("base_failed", bad).withColumn("kept", ~F.col("base_failed") & compiled(rules))
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text: str = "text") -> DataFrame:
+    """The documents with their measures, ``base_failed`` (under 20 words, or over 30 % of words in repeated windows) and ``kept``."""
+    own = [c for c in docs.columns if c.lower() not in MEASURES]
+    return _judged(docs, rules, text).select(*[F.col(f"_row.`{c}`") for c in own], *MEASURES)
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = THRESHOLDS, text: str = "text") -> DataFrame:
     """The documents that pass, with their own columns."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{text}`").alias("_body"))
-    return judge(packed, rules, "_body").where("kept").select("_row.*")
+    return _judged(docs, rules, text).where("kept").select("_row.*")

@@ -5,8 +5,12 @@ The number is found with a range partitioning of three small columns, which is c
 of its partitions; no task sees more than one partition. The permutation is arithmetic on the row: anyone who
 knows the row number, the number of rows and the seed can compute shard and slot, and invert them.
 
-Defined results: a null text has size 1 and checksum 0, as an empty one; rows with equal id and text are
-interchangeable and get numbers next to each other; an empty table gives no rows.
+A walk leaves the range only through the numbers beyond it, fewer than the root of the row count; the driver follows all
+of those and so knows the longest walk before the job starts.
+
+Defined results: a null text has size 1 and checksum 0, as an empty one; a text is measured whole; rows with equal id
+and text are interchangeable and get numbers next to each other; a null id comes first; other columns are not read,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +25,6 @@ from sieveline.llm.common import keep
 #: A prime below 2**31: products of two residues fit 63 bits.
 PRIME = 2147483647
 ROUNDS = 6
-#: The domain has fewer than isqrt(n) + 1 numbers too many, so a step leaves it with a chance of about 1 / sqrt(n).
-STEPS = 64
 _POSITION = (1 << 33) - 1
 
 
@@ -57,12 +59,13 @@ def permuted(row: Column, n: int, seed: int = 0) -> Column:
 
         return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), s, half, lambda s: s["r"] * left + s["l"])
 
-    walk = F.aggregate(F.sequence(F.lit(2), F.lit(STEPS)), step(row.cast("long")), lambda x, _: F.when(x < n, x).otherwise(step(x)))
-    return F.when(walk < n, walk).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
+    more = longest_walk(n, seed)
+    start = step(row.cast("long"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(more)), start, lambda x, _: F.when(x < n, x).otherwise(step(x))) if more else start
 
 
-def permuted_number(row: int, n: int, seed: int = 0) -> int:
-    """The same permutation for one number, outside Spark."""
+def _step(n: int, seed: int):
+    """One step of the walk for plain numbers, and the size of its domain."""
     left = max(1, isqrt(max(n - 1, 0)) + 1)
     right = max(1, -(-max(n, 1) // left))
 
@@ -71,16 +74,41 @@ def permuted_number(row: int, n: int, seed: int = 0) -> int:
         b = (a * a + _key(seed, i + ROUNDS)) % PRIME
         return (b * b + a) % PRIME
 
-    while True:
+    def step(row: int) -> int:
         lo, hi = row % left, row // left
         for k in range(ROUNDS):
             if k % 2 == 0:
                 lo = (lo + mix(hi, k)) % left
             else:
                 hi = (hi + mix(lo, k)) % right
-        row = hi * left + lo
-        if row < n:
-            return row
+        return hi * left + lo
+
+    return step, left * right
+
+
+def longest_walk(n: int, seed: int = 0) -> int:
+    """The most steps that any walk takes beyond the range."""
+    step, size = _step(n, seed)
+    beyond: dict[int, int] = {}
+    for x in range(n, size):
+        way = []
+        while x >= n and x not in beyond:
+            way.append(x)
+            beyond[x] = 0  # stays so in a circle beyond the range, which no row enters
+            x = step(x)
+        circle = bool(way) and x == way[0]
+        for k, y in enumerate(reversed(way)):
+            beyond[y] = 0 if circle else beyond.get(x, 0) + k + 1
+    return max(beyond.values(), default=0)
+
+
+def permuted_number(row: int, n: int, seed: int = 0) -> int:
+    """The same permutation for one number, outside Spark."""
+    step, _ = _step(n, seed)
+    row = step(row)
+    while row >= n:
+        row = step(row)
+    return row
 
 
 def numbered(df: DataFrame, by: list[str]) -> tuple[DataFrame, int]:

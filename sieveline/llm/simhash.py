@@ -19,8 +19,10 @@ candidates is in one task.
 The trees are built where their shard's nodes are; broadcasting them would bring all fingerprints to the driver.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a text with fewer words than
-a shingle is one shingle; rows with equal ids are separate rows; a component without any id has a null id; an
-empty table gives no rows; only the id of the input is kept.
+a shingle is one shingle; a very long text is read whole, in one task's memory; rows with equal ids are separate rows; of
+several with the smallest id of a group ``deduplicated`` leaves one, the first by checksum; a component without any id
+has a null id; an empty table gives no rows; ``grouped`` keeps only the id of the input, ``deduplicated`` all columns,
+whatever their names - they travel as one struct.
 """
 
 from __future__ import annotations
@@ -35,12 +37,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import keep
+from sieveline.llm.common import packed, written
 
 SEED = 42
 SHARD_ROWS = 50_000
-#: Times that a shard can be cut again; the blocks of 64 bits get too short beyond.
+#: Times that a shard can be cut again. Its fingerprints, which are distinct, then have 43 bits in common at least, so that
+#: there are 2 ** 21 of them at most, whatever the size of the table.
 CUTS = 3
+#: Keys that the edges of one node are dealt over.
+SALTS = 16
 
 
 # ---- fingerprints
@@ -260,7 +265,7 @@ def links(nodes: DataFrame, what: Features = PLAIN) -> DataFrame:
         here = rest.select("node", "fp", F.explode(F.array(*parts)).alias("_p")).select("node", "fp", "_p.shard", "_p.left")
         hot = None
         if cut < CUTS:
-            hot = keep(here.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).select("shard"))
+            hot = written(here.groupBy("shard").count().where(F.col("count") > SHARD_ROWS).select("shard"))
             hot = None if hot.isEmpty() else hot
         cold = here.join(hot, "shard", "left_anti") if hot is not None else here
         near = cold.select("shard", "fp", "node").repartition("shard").sortWithinPartitions("shard", "fp", "node")
@@ -411,7 +416,7 @@ def _exact(what: Features):
 def confirmed(nodes: DataFrame, docs: DataFrame, what: Features = NEAR, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Edges (a, b) between nodes (node, fps, one: a document's id and text_key) whose sets of shingles have the similarity."""
     roots = components(candidates(nodes.select("node", "fps"), what))
-    roots = keep(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(nodes, "node").select("root", "node", "one", "fps"))
+    roots = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(nodes, "node").select("root", "node", "one", "fps"))
     mine = F.col(doc).eqNullSafe(F.col("one.doc_id")) & (F.xxhash64(F.col(text)) == F.col("one.text_key"))
     texts = docs.select(F.col(doc), F.col(text)).join(roots, mine).select("root", "node", F.col(text).alias("_text"), *[F.get("fps", F.lit(t)).alias(f"x{t}") for t in range(SKETCH // 64)])
     return texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_exact(what), "a long, b long")
@@ -420,31 +425,33 @@ def confirmed(nodes: DataFrame, docs: DataFrame, what: Features = NEAR, doc: str
 # ---- components
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """node, root for each node on an edge: root is the smallest node that it reaches. Alternates large and small stars."""
-    e = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """node, root for each node on an edge: root is the smallest node that it reaches. Alternates large and small stars
+    until nothing changes. A node with many edges has its rows dealt over ``SALTS`` keys."""
+    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("s")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), each)
+        e = both.select("u", "v", salt).join(least, ["u", "s"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: each node's smaller neighbours go to the smallest of them.
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = keep(e)
+        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", each)
+        e = e.select("u", "v", salt).join(low, ["u", "s"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        e = written(e)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now["n"]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError(f"components did not rest in {rounds} rounds")
 
 
 def grouped(docs: DataFrame, what: Features = PLAIN, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, fps, component_id (the smallest doc_id reachable) and n_rows (documents with these fingerprints)."""
-    marked = keep(fingerprints(docs, what, doc, text))
+    marked = written(fingerprints(docs, what, doc, text))
     key = ["set_key"] if what.similarity else ["fps"]
     nodes = marked.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("n_rows"), F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("fps").alias("_f"))
-    nodes = keep(nodes.select(*key, F.col("_f").alias("fps"), "first", "n_rows", "one", F.monotonically_increasing_id().alias("node")) if what.similarity else nodes.select("fps", "first", "n_rows", F.monotonically_increasing_id().alias("node")))
+    nodes = written(nodes.select(*key, F.col("_f").alias("fps"), "first", "n_rows", "one", F.monotonically_increasing_id().alias("node")) if what.similarity else nodes.select("fps", "first", "n_rows", F.monotonically_increasing_id().alias("node")))
     roots = components(confirmed(nodes, docs, what, doc, text) if what.similarity else links(nodes.select("node", "fps"), what))
     tied = nodes.join(roots, "node").select("root", "first").unionByName(nodes.join(roots.select("root").distinct(), nodes["node"] == F.col("root")).select("root", "first"))
     least = tied.groupBy("root").agg(F.min("first").alias("least"))
@@ -460,11 +467,18 @@ def hex_digits(fp: Column) -> Column:
 
 def deduplicated(docs: DataFrame, what: Features = NEAR, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the one with the smallest id, with its own columns."""
-    same = keep(grouped(docs, what, doc, text).groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("n")))
+    same = written(grouped(docs, what, doc, text).groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("n")))
     rank = F.struct((-F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).cast("int")).alias("o"), "doc_id", "text_key", "n")
-    kept = same.groupBy("component_id").agg(F.min(rank).alias("x")).select(F.col("x.doc_id").alias("_d"), F.col("x.text_key").alias("_k"), F.col("x.n").alias("_n"))
-    kept = keep(kept)
-    at = F.col(doc).eqNullSafe(F.col("_d")) & (F.xxhash64(F.col(text)) == F.col("_k"))
-    left = docs.join(kept.where("_n = 1"), at, "left_semi")
-    again = kept.where("_n > 1")  # rows that are wholly alike in id and text
-    return left if again.isEmpty() else left.unionByName(docs.join(again, at, "left_semi").dropDuplicates([doc, text]))
+    kept = same.groupBy("component_id").agg(F.min(rank).alias("x")).select("component_id", "x.doc_id", "x.text_key", "x.n")
+    # What goes is less than what stays; written, so that its size is known: it is sent to all tasks only if it is small.
+    one = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")) & F.col("a.component_id").eqNullSafe(F.col("b.component_id"))
+    gone = written(same.alias("a").join(kept.alias("b"), one, "left_anti").select(F.col("doc_id").alias("_i"), F.coalesce("text_key", F.lit(0)).alias("_h")))
+    a = packed(docs, _d=F.col(f"`{doc}`"), _k=F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)))
+    at = F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h"))
+    left = a.join(gone, at, "left_anti")
+    # Rows that are wholly alike in id and text: one of each is left.
+    again = written(kept.where("n > 1").select(F.col("doc_id").alias("_i"), F.coalesce("text_key", F.lit(0)).alias("_h")))
+    if again.isEmpty():
+        return left.select("_row.*")
+    alike = left.join(again, at, "left_semi").dropDuplicates(["_d", "_k"])
+    return left.join(again, at, "left_anti").unionByName(alike).select("_row.*")

@@ -9,8 +9,13 @@ its parent's, reaches ``REJECT``. The parents' purities come from the rules' own
 Everything is summed over distinct (host, shape path) before any shuffle by node, so that a host with a third of
 all urls is a few rows; the pages meet their template in an equi-join that adaptive execution can split.
 
-Defined results: a null url or one without ``://`` has empty host and path, which is a template of its own;
-repeated rows are judged each by itself; an empty table gives no rows.
+Without a label column the labels are the verdicts of the rules, so that the tree carries those over to what the rules
+don't name; with few rules it rejects little.
+
+Defined results: a null url or one without ``://`` has empty host and path, which is a template of its own; a url is
+read whole, to its last segment; a tie of labels is no evidence, and between rules of one length the later by name is
+asked first; repeated rows are judged each by itself; other columns pass through, whatever their names - they travel as
+one struct - and an input column that bears the name of an added one is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import ascii_lower, keep
+from sieveline.llm.common import ascii_lower, packed, written
 
 #: (rule, verdict); the host is what stands before the first slash.
 RULES = (
@@ -73,14 +78,14 @@ def shaped(path: Column) -> Column:
 
 def templates(urls: DataFrame) -> DataFrame:
     """From rows (host, shape, bad, good): host, shape, template, bad_share of every distinct shape path."""
-    tree = keep(urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+    tree = written(urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     whole = tree.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("good"), F.lit(0)).alias("g")).first()
     # A host without labels isn't rejected for what others do.
     base = min(0.5, (whole["b"] + 1.0) / (whole["b"] + whole["g"] + 2.0))
     # The host is the root of its tree.
     root = tree.groupBy("host").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
     root = root.select("host", ((F.col("b") + WEIGHT * base) / (F.col("b") + F.col("g") + WEIGHT)).alias("p"))
-    tree = keep(tree.join(root, "host").withColumn("template", F.lit("")))
+    tree = written(tree.join(root, "host").withColumn("template", F.lit("")))
     for d in count():  # until no path has a further segment
         seg = F.get("shape", F.lit(d))
         if tree.where(seg.isNotNull()).isEmpty():
@@ -97,7 +102,7 @@ def templates(urls: DataFrame) -> DataFrame:
             ((F.sum("b") + WEIGHT * F.first("p")) / (F.sum("b") + F.sum("g") + WEIGHT)).alias("np")
         )
         step = both.select("host", "template", "seg", "name").join(branch, ["host", "template", "name"])
-        tree = keep(
+        tree = written(
             tree.withColumn("seg", seg).join(step, ["host", "template", "seg"], "left")
             .select("host", "shape", "n", "bad", "good", F.coalesce("np", "p").alias("p"),
                     F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name")).alias("template"))
@@ -107,12 +112,12 @@ def templates(urls: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", label: str | None = None) -> DataFrame:
     """The pages with host, path, rule, template, bad_share and verdict; ``label``: a column, 1 for bad and 0 for good."""
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "template", "bad_share", "verdict")]
-    host, path = split_url(F.col(url))
-    a = pages.select(*own, host.alias("host"), path.alias("path"))
+    own = [F.col(f"_row.`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "template", "bad_share", "verdict")]
+    host, path = split_url(F.col(f"`{url}`"))
+    a = packed(pages, host=host, path=path)
     rule, said = matched(F.col("host"), F.col("path"), rules)
-    a = a.select(*own, "host", "path", rule.alias("rule"), said.alias("_said"), shaped(F.col("path")).alias("shape"))
-    bad = F.col(label) if label else F.when(F.col("_said") == "block", 1).when(F.col("_said") == "allow", 0)
+    a = a.select("_row", "host", "path", rule.alias("rule"), said.alias("_said"), shaped(F.col("path")).alias("shape"))
+    bad = F.col(f"_row.`{label}`") if label else F.when(F.col("_said") == "block", 1).when(F.col("_said") == "allow", 0)
     learned = templates(a.select("host", "shape", (bad == 1).cast("long").alias("bad"), (bad == 0).cast("long").alias("good")).na.fill(0, ["bad", "good"]))
     verdict = F.coalesce("_said", F.when(F.col("bad_share") >= REJECT, "block").otherwise("allow"))
     return a.join(learned, ["host", "shape"], "left").select(*own, "host", "path", "rule", "template", "bad_share", verdict.alias("verdict"))

@@ -290,6 +290,36 @@ def test_html_article():
     assert htmltext.main_text(page) == "Title & more\nOne\ntwo <b> bold text\nNext para\nlast © é"
 
 
+def test_html_classes():
+    text = lambda inner, more="": htmltext.main_text(htmltext.blocks(f"<body><article><p>own</p>{inner}</article>{more}</body>"))
+    assert text("", '<article class="comment">reader says</article>') == text('<article class="user-comment comment">reader says</article>') == "own"
+    assert text('<p class="related-work">Earlier work</p><div class="search-results-analysis">Tables</div>') == "own\nEarlier work\nTables"
+    assert text('<div class="related-posts">More</div><ul class="social-share">x</ul><div class="x comment-list">y</div><div role="search">z</div>', '<div class="search-results-analysis">Tables</div>') in ("own", "own\nx")
+    assert htmltext.main_text(htmltext.blocks('<div class="search-results-analysis">Tables</div><p>own')) == "own"
+
+
+def test_html_differencing_weighs_structure(spark):
+    page = lambda n, marked: f"<p>Site name</p>{'<article>' if marked else '<div>'}<p>Quoted passage</p><p>own {n}</p>{'</article>' if marked else '</div>'}<p>Contact us</p>"
+    df = spark.createDataFrame([(k, f"https://h.example/{k}", page(k, k % 2 == 0), 1, "x") for k in range(6)], "page_id long, url string, html string, _key int, shared string")
+    got = {r["page_id"]: r["text"] for r in rows(htmltext.extract(df))}
+    # What a neighbour has too goes from an unmarked page, and stays in a marked article.
+    assert got == {k: f"own {k}" if k % 2 else f"Quoted passage\nown {k}" for k in range(6)}
+
+
+def test_html_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(htmltext, "TABLE", 1000)
+    a, b = [f"x{k % 70}" for k in range(400)], [f"x{k % 90}" for k in range(300)]
+    whole = htmltext.in_common(a, b)
+    monkeypatch.setattr(htmltext, "TABLE", 1 << 28)
+    assert len(whole) == len(htmltext.in_common(a, b)) and [a[i] for i in sorted(whole)]
+    it = iter(b)
+    assert all(any(x == y for y in it) for x in (a[i] for i in sorted(whole)))
+    long = "<p>" + "</p><p>".join(f"line {k}" for k in range(60_000)) + "</p>"
+    df = spark.createDataFrame([(1, "https://h.example/a", long), (2, "https://h.example/b", long.replace("line 7<", "own<"))], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in rows(htmltext.extract(df))}
+    assert got == {1: "line 7", 2: "own"}
+
+
 def test_html_differencing(spark):
     common = "<p>Site name</p><p>{}</p><p>Contact us</p>"
     data = [(k, f"https://h.example/{k}", common.format(f"own words {k}")) for k in range(6)]
@@ -452,6 +482,30 @@ def test_mixing_entropy(spark):
     assert -sum(x * math.log(x) for x in p) == pytest.approx(0.8, abs=1e-6)
 
 
+# ---- columns of any name
+
+
+NAMES = (
+    "_row _t _w _l _h _g _s _at _d _k _i _doc _src _body _block _pass _order _spans _x _v _hit _said _text _key _n _r _fp shape shape2 host path rule verdict template bad_share spans items "
+    "n_words n_tokens kept base_failed score lang_pred fps node root component_id text_key fingerprint row_number shard slot size said width h level"
+).split()
+
+
+def test_columns_of_any_name_pass_through(spark, odd):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", 1, 2)], "item_id long, text string, said string, h long")
+    good = spark.createDataFrame([(50, " ".join(f"word{k} the" for k in range(30)), "en", "a")], "doc_id long, text string, lang string, source string")
+    base = odd.select("doc_id", "text", "lang", "source").union(good).withColumn("url", F.lit("https://h.example/a/b"))
+    for names in (NAMES, [n.upper() for n in NAMES]):
+        df = base.withColumns({n: F.lit(f"own {n}") for n in names})
+        stages = (quality.accepted(df), simhash.deduplicated(df), decontam.clean(df, bench), decontam.cut(df, bench), mixing.mixed(df), url_filters.judge(df), quality.judge(df), langid.predicted(df, {}))
+        for k, out in enumerate(stages):
+            got = out.collect()
+            replaced = {*mixing.ADDED, *quality.MEASURES, "host", "path", "rule", "template", "bad_share", "verdict", "lang_pred", "score"} if k > 3 else set()
+            assert got and len({c.lower() for c in out.columns}) == len(out.columns), k
+            assert all(r[n] == f"own {n}" for r in got for n in names if n.lower() not in replaced), k
+        assert simhash.grouped(df).count() == decontam.scan(df, bench).count() == sharding.sharded(df).count() == tokens.counts(df).count() == df.count()
+
+
 # ---- 3
 
 
