@@ -44,8 +44,8 @@ SHARD_ROWS = 50_000
 #: Times that a shard can be cut again. Its fingerprints, which are distinct, then have 43 bits in common at least, so that
 #: there are 2 ** 21 of them at most, whatever the size of the table.
 CUTS = 3
-#: Keys that the edges of one node are dealt over.
-SALTS = 16
+#: Edges of a node beyond which they are dealt over ``SALTS`` keys; and such nodes up to which they are sent to all tasks.
+HUB, SALTS, HUBS_SENT = 1000, 16, 100_000
 
 
 # ---- fingerprints
@@ -416,29 +416,41 @@ def _exact(what: Features):
 def confirmed(nodes: DataFrame, docs: DataFrame, what: Features = NEAR, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Edges (a, b) between nodes (node, fps, one: a document's id and text_key) whose sets of shingles have the similarity."""
     roots = components(candidates(nodes.select("node", "fps"), what))
-    roots = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(nodes, "node").select("root", "node", "one", "fps"))
-    mine = F.col(doc).eqNullSafe(F.col("one.doc_id")) & (F.xxhash64(F.col(text)) == F.col("one.text_key"))
-    texts = docs.select(F.col(doc), F.col(text)).join(roots, mine).select("root", "node", F.col(text).alias("_text"), *[F.get("fps", F.lit(t)).alias(f"x{t}") for t in range(SKETCH // 64)])
+    sketch = [F.get("fps", F.lit(t)).alias(f"x{t}") for t in range(SKETCH // 64)]
+    # Narrow and written, so that its size is known: it is sent to all tasks, and the texts stay where they are, if it is small.
+    roots = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(nodes, "node").select("root", "node", "one", *sketch))
+    mine = F.col("_d").eqNullSafe(F.col("one.doc_id")) & (F.col("_k") == F.col("one.text_key"))
+    texts = docs.select(F.col(f"`{doc}`").alias("_d"), F.xxhash64(F.col(f"`{text}`")).alias("_k"), F.col(f"`{text}`").alias("_text")).join(roots, mine).select("root", "node", "_text", *[f"x{t}" for t in range(SKETCH // 64)])
     return texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_exact(what), "a long, b long")
 
 
 # ---- components
 
 
+def _with_least(both: DataFrame) -> DataFrame:
+    """u, v and m, the smallest of u and its neighbours. The rows of nodes with over ``HUB`` edges are dealt over ``SALTS`` keys."""
+    least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    hubs = least.where(F.col("n") > HUB).select("u", F.lit(True).alias("hub"))
+    n = hubs.count()
+    if not n:
+        return both.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(hubs) if n <= HUBS_SENT else hubs
+    both = both.join(hubs, "u", "left").withColumn("s", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+    least = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > HUB, SALTS - 1).otherwise(0))).alias("s"))
+    return both.join(least, ["u", "s"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for each node on an edge: root is the smallest node that it reaches. Alternates large and small stars
-    until nothing changes. A node with many edges has its rows dealt over ``SALTS`` keys."""
-    salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("s")
-    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")
+    until nothing changes."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), each)
-        e = both.select("u", "v", salt).join(least, ["u", "s"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: each node's smaller neighbours go to the smallest of them.
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", each)
-        e = e.select("u", "v", salt).join(low, ["u", "s"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        e = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Small star: each node's smaller neighbours go to the smallest of them. Few are left of each by now.
+        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         e = written(e)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now["n"]:

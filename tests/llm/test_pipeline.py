@@ -105,3 +105,10 @@ def test_near_copies_at_the_similarity_as_brute_force(spark):
     df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
     left = {r["doc_id"] for r in simhash.deduplicated(df).select("doc_id").collect()}
     assert want <= left and len(left - want) <= 2  # a candidate is found with a probability of 0.997
+
+
+def test_components_of_hubs_and_chains(spark):
+    edges = [(7, k) for k in range(100, 4100)] + [(k, k + 1) for k in range(5000, 5300)] + [(4099, 6000), (6000, 6001), (9, 9)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    want = {k: 7 for k in [*range(100, 4100), 6000, 6001]} | {k: 5000 for k in range(5001, 5301)}
+    assert got == want
