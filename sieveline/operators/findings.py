@@ -14,15 +14,21 @@ MARKER = "sieveline:ignore"
 
 def merge_engines(findings: DataFrame) -> DataFrame:
     """One row where several engines report one place and kind - the surest one, surer by a tenth for each engine more -
-    and every row where one engine does. Adds ``engines`` and ``multi_engine_confirmed``."""
+    and every row where one engine does. Adds ``engines``, the surest first, ``engine_evidence``, the flow of each engine that
+    has one, and ``multi_engine_confirmed``."""
     key = ["doc_id", "file_path", "line_number", "finding_type"]
     place = Window.partitionBy(*key)
-    best = place.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "seq", "engine", "pattern_name")
+    # Of equally sure ones the line patterns' finding comes first.
+    best = place.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), F.coalesce(F.col("engine") != "regex", F.lit(False)), "seq", "engine", "pattern_name")
     f = findings.withColumn("_n", F.size(F.collect_set(F.coalesce("engine", F.lit("regex"))).over(place))).withColumn("_r", F.row_number().over(best))
-    f = f.withColumn("engines", F.sort_array(F.collect_set(F.coalesce("engine", F.lit("regex"))).over(place)))
+    named = F.array_sort(F.collect_list(F.struct("_r", F.coalesce("engine", F.lit("regex")).alias("e"), "flow")).over(place))
+    f = f.withColumn("_e", named).withColumn("engines", F.array_distinct(F.transform("_e", lambda x: x["e"])))
+    # The last of an engine's flows counts.
+    flows = F.transform("engines", lambda n: F.struct(n.alias("n"), F.element_at(F.filter("_e", lambda x: x["e"] == n), -1)["flow"].alias("f")))
+    f = f.withColumn("engine_evidence", F.when(F.col("_n") > 1, F.map_from_entries(F.filter(flows, lambda x: x["f"].isNotNull()))))
     f = f.where((F.col("_n") == 1) | (F.col("_r") == 1)).withColumn("multi_engine_confirmed", F.col("_n") > 1)
     surer = F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)) + 0.1 * (F.col("_n") - 1))
-    return f.withColumn("confidence", F.when(F.col("_n") > 1, surer).otherwise(F.col("confidence"))).drop("_n", "_r")
+    return f.withColumn("confidence", F.when(F.col("_n") > 1, surer).otherwise(F.col("confidence"))).drop("_n", "_r", "_e")
 
 
 def directives(docs: DataFrame, marker: str = MARKER) -> DataFrame:
@@ -50,6 +56,17 @@ def mark(marks: DataFrame, fresh: DataFrame) -> DataFrame:
     return marks.unionByName(fresh).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
 
 
+def list_marks(marks: DataFrame, scanner: str | None = None, limit: int = 100) -> DataFrame:
+    """The active marks, the latest first."""
+    m = marks.where("is_active")
+    return (m if scanner is None else m.where(F.col("scanner") == scanner)).orderBy(F.desc("created_at"), "fingerprint").limit(limit)
+
+
+def mark_stats(marks: DataFrame) -> DataFrame:
+    """Active marks by scanner, and in all under a null scanner."""
+    return marks.where("is_active").rollup("scanner").agg(F.count("*").alias("n"))
+
+
 def annotate_marks(findings: DataFrame, marks: DataFrame) -> DataFrame:
     """``false_positive`` where the very finding is marked, else ``potential_false_positive`` where its pattern is."""
     active = marks.where("is_active")
@@ -79,6 +96,12 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "fingerprint", "full").select("fingerprint", said.alias("delta_status"))
 
 
+def delta_of(findings: DataFrame, before: Column, after: Column) -> DataFrame:
+    """The same for two scans within one table, told apart by conditions on its rows: one aggregation by fingerprint."""
+    f = findings.where(before | after).groupBy(X.fingerprint().alias("fingerprint")).agg(F.bool_or(before).alias("b"), F.bool_or(after).alias("a"))
+    return f.select("fingerprint", F.when(~F.col("b"), "new").when(~F.col("a"), "removed").otherwise("unchanged").alias("delta_status"))
+
+
 def quality_gate(findings: DataFrame, fail_on: str = "high", warn_on: str = "medium", max_findings: int | None = None, exclude_suppressed: bool = True) -> DataFrame:
     """One row: verdict, passed, exit_code, total and the counts by severity."""
     f = findings.where(~F.coalesce("suppressed", F.lit(False))) if exclude_suppressed else findings
@@ -97,7 +120,7 @@ def quality_gate(findings: DataFrame, fail_on: str = "high", warn_on: str = "med
 
 def with_context(findings: DataFrame, docs: DataFrame, window: int = 3) -> DataFrame:
     """Adds ``code_context``: the line and up to ``window`` lines on either side; empty if there is no such line."""
-    held = docs.select(F.col("doc_id").alias("_d"), X.lines(F.col("text")).alias("_l"))
+    held = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t"))
     n, size = F.col("line_number"), F.size("_l")
     there = (n >= 1) & (n <= size)
     none = F.array().cast("array<string>")
@@ -106,21 +129,41 @@ def with_context(findings: DataFrame, docs: DataFrame, window: int = 3) -> DataF
         F.when(there, F.slice("_l", low, F.greatest(F.lit(0), n - low))).otherwise(none).alias("before"), F.when(there, F.get("_l", n - 1)).otherwise("").alias("target_line"),
         F.when(there, F.slice("_l", n + 1, F.greatest(F.lit(0), F.least(F.lit(window), size - n)))).otherwise(none).alias("after"), n.alias("line_number"),
     )
-    return findings.join(held, F.col("doc_id") == F.col("_d"), "left").withColumn("code_context", F.when(F.col("_l").isNotNull(), ctx)).drop("_d", "_l")
+    both = findings.join(held, F.col("doc_id") == F.col("_d"), "left").withColumn("_l", F.when(F.col("_d").isNotNull(), X.lines(F.col("_t"))))
+    return both.withColumn("code_context", F.when(F.col("_l").isNotNull(), ctx)).drop("_d", "_l", "_t")
+
+
+_REFERENCE = "struct<type:string,id:string,url:string,name:string>"
 
 
-def owasp(cwe: Column) -> Column:
-    flat = {c: f"{i} {t}" for (i, t), cs in R.OWASP.items() for c in cs}
-    return F.try_element_at(X.literal_map(flat), cwe)
+def references(cwe_ids: Column, vuln_id: Column) -> Column:
+    """Each weakness, each category of the public ranking once, and the advisory."""
+    one = lambda kind, ident, url, name: F.struct(F.lit(kind).alias("type"), ident.alias("id"), url.cast("string").alias("url"), name.cast("string").alias("name"))
+    none = F.lit(None)
+    weak = F.transform(cwe_ids, lambda c: one("CWE", c, F.concat(F.lit("https://cwe.mitre.org/data/definitions/"), F.regexp_replace(c, "^CWE-", ""), F.lit(".html")), none))
+    category = X.literal_map({c: i for (i, _), cs in R.OWASP.items() for c in cs})
+    title = X.literal_map({i: t for i, t in R.OWASP})
+    ranked = F.array_distinct(F.filter(F.transform(cwe_ids, lambda c: F.try_element_at(category, c)), lambda x: x.isNotNull()))
+    tops = F.transform(ranked, lambda i: one("OWASP", i, none, F.try_element_at(title, i)))
+    advisory = F.when(vuln_id.startswith("CVE-"), one("CVE", vuln_id, F.concat(F.lit("https://nvd.nist.gov/vuln/detail/"), vuln_id), none)).when(vuln_id.isNotNull(), one("OSV", vuln_id, F.concat(F.lit("https://osv.dev/vulnerability/"), vuln_id), none))
+    empty = F.array().cast(f"array<{_REFERENCE}>")
+    return F.concat(F.coalesce(weak.cast(f"array<{_REFERENCE}>"), empty), F.coalesce(tops.cast(f"array<{_REFERENCE}>"), empty), F.filter(F.array(advisory.cast(_REFERENCE)), lambda x: x.isNotNull()))
 
 
 def with_references(findings: DataFrame) -> DataFrame:
-    """Adds ``references``: each weakness, and each category of the public ranking once."""
-    link = lambda c: F.concat(F.lit("https://cwe.mitre.org/data/definitions/"), F.regexp_extract(c, "([0-9]+)", 1), F.lit(".html"))
-    weak = F.transform("cwe_ids", lambda c: F.struct(F.lit("cwe").alias("type"), c.alias("id"), link(c).alias("url")))
-    ranked = F.array_distinct(F.filter(F.transform("cwe_ids", owasp), lambda x: x.isNotNull()))
-    tops = F.transform(ranked, lambda x: F.struct(F.lit("owasp").alias("type"), x.alias("id"), F.lit("https://owasp.org/Top10/").alias("url")))
-    return findings.withColumn("references", F.concat(F.coalesce(weak, F.array()), F.coalesce(tops, F.array())))
+    """Adds ``references``. The advisory is ``vuln_id``, or else the first CVE of ``aliases``, if there are such columns."""
+    cols = findings.columns
+    first = F.get(F.filter("aliases", lambda a: a.startswith("CVE-")), F.lit(0)) if "aliases" in cols else F.lit(None).cast("string")
+    return findings.withColumn("references", references(F.col("cwe_ids"), F.coalesce(F.col("vuln_id"), first) if "vuln_id" in cols else first))
+
+
+def with_details(findings: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Adds ``details``: the code around, the explanation, the references, class, scanner and pattern."""
+    f = with_explanation(with_references(findings))
+    f = with_context(f, docs) if docs is not None else f.withColumn("code_context", F.lit(None).cast("struct<before:array<string>,target_line:string,after:array<string>,line_number:int>"))
+    return f.withColumn("details", F.struct(
+        "code_context", "match_explanation", "references", F.col("finding_type").alias("vulnerability_class"), "scanner", F.coalesce("pattern_name", "injection_type").alias("pattern_name"), "flow",
+    )).drop("code_context", "match_explanation", "references")
 
 
 def with_explanation(findings: DataFrame) -> DataFrame:

@@ -33,22 +33,38 @@ def results(findings: DataFrame, base: str = "") -> DataFrame:
 
 
 def rules(findings: DataFrame) -> DataFrame:
-    """One definition for each rule, from its first finding."""
-    f = findings.withColumn("rule_id", _rule_id()).groupBy("rule_id").agg(F.min_by(F.struct("severity", "message", "cwe_ids"), F.struct("doc_id", "seq")).alias("x"))
+    """One definition for each rule, from its first finding, with help from its remediation and its weaknesses."""
+    f = findings.withColumn("rule_id", _rule_id()).groupBy("rule_id").agg(F.min_by(F.struct("severity", "message", "cwe_ids", "remediation"), F.struct("doc_id", "seq")).alias("x"))
+    code = lambda c: F.concat(F.lit("```\n"), c, F.lit("\n```"))
+    fix = F.col("x.remediation")
+    both = F.when((F.length(fix["before"]) > 0) & (F.length(fix["after"]) > 0), F.concat(F.lit("**Before:**\n"), code(fix["before"]), F.lit("\n\n**After:**\n"), code(fix["after"])))
+    weak = F.transform("x.cwe_ids", lambda c: F.struct(F.struct(c.alias("id"), F.struct(F.lit("CWE").alias("name"), F.lit(0).alias("index")).alias("toolComponent")).alias("target"), F.array(F.lit("superset")).alias("kinds")))
     one = F.struct(
         F.col("rule_id").alias("id"), F.struct(F.col("x.message").alias("text")).alias("shortDescription"),
         F.struct(F.try_element_at(literal_map(LEVEL), F.col("x.severity")).alias("level")).alias("defaultConfiguration"),
-        F.struct(F.try_element_at(literal_map(SCORE), F.col("x.severity")).alias("`security-severity`".strip("`")), F.col("x.cwe_ids").alias("tags")).alias("properties"),
+        F.when(fix.isNotNull(), F.struct(fix["description"].alias("text"), both.alias("markdown"))).alias("help"),
+        F.when(F.size("x.cwe_ids") > 0, weak).alias("relationships"),
+        F.struct(F.try_element_at(literal_map(SCORE), F.col("x.severity")).alias("security-severity"), F.col("x.cwe_ids").alias("tags")).alias("properties"),
     )
     return f.select("rule_id", F.to_json(one).alias("rule"))
 
 
+def taxa(findings: DataFrame) -> DataFrame:
+    """The weaknesses that occur: cwe_id and its entry of the taxonomy."""
+    c = findings.select(F.explode("cwe_ids").alias("cwe_id")).distinct()
+    return c.select("cwe_id", F.to_json(F.struct(F.col("cwe_id").alias("id"), F.struct(F.col("cwe_id").alias("text")).alias("shortDescription"))).alias("taxon"))
+
+
 def document(findings: DataFrame, tool: str = "sieveline", version: str = "0.1.0", base: str = "") -> DataFrame:
     """One row with the whole log. It gathers all findings and is meant for one scan's report; large exports write
-    ``results`` and ``rules``, whose rows are the log's parts."""
-    r, d = results(findings, base), rules(findings)
-    items = r.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "seq", "result"))), lambda x: x["result"]), ",").alias("results"))
-    defs = d.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rule_id", "rule"))), lambda x: x["rule"]), ",").alias("rules"))
+    ``results``, ``rules`` and ``taxa``, whose rows are the log's parts."""
+    def joined(df: DataFrame, key: list[str], value: str) -> DataFrame:
+        rows = df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, value))), lambda x: x[value]), ",").alias("x"))
+        return rows.select(F.lit(value).alias("part"), "x")
+
+    parts = joined(results(findings, base), ["doc_id", "seq"], "result").unionByName(joined(rules(findings), ["rule_id"], "rule")).unionByName(joined(taxa(findings), ["cwe_id"], "taxon"))
+    p = parts.agg(F.map_from_entries(F.collect_list(F.struct("part", "x"))).alias("p"))
     head = f'{{"$schema":"{SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}","version":"{version}","rules":['
-    # Both sides are single rows.
-    return items.withColumn("k", F.lit(1)).join(defs.withColumn("k", F.lit(1)), "k").select(F.concat(F.lit(head), "rules", F.lit(']}},"results":['), "results", F.lit("]}]}")).alias("sarif"))
+    cwe = ',"taxonomies":[{"name":"CWE","organization":"MITRE","shortDescription":{"text":"Common Weakness Enumeration"},"taxa":['
+    weak = F.when(F.length("p.taxon") > 0, F.concat(F.lit(cwe), "p.taxon", F.lit("]}]"))).otherwise("")
+    return p.select(F.concat(F.lit(head), "p.rule", F.lit("]}}"), weak, F.lit(',"results":['), "p.result", F.lit("]}]}")).alias("sarif"))

@@ -10,20 +10,27 @@ Documents have ``doc_id`` and ``text``, and may have ``file_path`` and ``languag
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions import guards as G
 from sieveline.functions import rules as R
 from sieveline.functions import text as X
+from sieveline.functions.advice import ADVICE
 
 FINDING = """
 doc_id bigint, finding_type string, severity string, severity_rank int, message string, matched_text string, line_number int,
 file_path string, scanner string, finding_id string, pattern_name string, injection_type string, pii_type string,
 category string, secret_type string, range struct<start_line:int,start_col:int,end_line:int,end_col:int>, confidence double,
-cwe_ids array<string>, auto_fixable boolean, suppressed boolean, suppression_reason string, engine string, seq bigint
+cwe_ids array<string>, auto_fixable boolean, suppressed boolean, suppression_reason string, engine string, seq struct<first:bigint,second:bigint,at:bigint>,
+remediation struct<description:string,before:string,after:string,auto_fixable:boolean>,
+flow struct<source_line:int,taint_kind:string,hops:array<string>,sink_line:int,sink:string>
 """
-_TYPES = dict(p.strip().split(" ", 1) for p in FINDING.replace("\n", " ").replace("struct<start_line:int,start_col:int,end_line:int,end_col:int>", "@").split(","))
-_TYPES["range"] = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
+#: Name and type of each column; a comma within a type has no blank after it.
+_TYPES = dict(p.strip().split(" ", 1) for p in FINDING.replace(",\n", ", ").replace("\n", " ").split(", "))
 COLUMNS = tuple(_TYPES)
 LEVELS = ("low", "medium", "high")
 
@@ -56,34 +63,64 @@ def regexes(rules, unicode: bool) -> list[str]:
     return [("(?U)" if unicode else "") + r.regex.replace("(?i)", "(?iu)" if unicode else "(?i)") for r in rules]
 
 
-def _meta(rule: R.Rule, order: int) -> list[Column]:
-    return [
-        F.lit(rule.name).alias("name"), F.lit(rule.finding_type).alias("finding_type"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("said"),
-        F.lit(rule.confidence).alias("confidence"), F.array(*[F.lit(c) for c in rule.cwe_ids]).cast("array<string>").alias("cwe_ids"), F.lit(order).cast("bigint").alias("order"),
-    ]
+_RULE = "name string, finding_type string, severity string, said string, confidence double, cwe_ids array<string>, remediation " + _TYPES["remediation"]
+
+
+def _meta(rules, order: Column) -> Column:
+    """What the rules say, by their number: one literal, so that the plan stays small."""
+    def fix(name: str) -> dict | None:
+        said = ADVICE.get(name)
+        return said and {"description": said[0], "before": said[1], "after": said[2], "auto_fixable": name in R.AUTO_FIXABLE}
+
+    rows = [{"name": r.name, "finding_type": r.finding_type, "severity": r.severity, "said": r.message, "confidence": r.confidence, "cwe_ids": list(r.cwe_ids), "remediation": fix(r.name)} for r in rules]
+    return F.get(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_RULE}>>".replace(", ", ",")), order.cast("int"))
+
+
+def _sql(text: str) -> str:
+    """A string literal of Spark's SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def _guard_sql(regex: str) -> str:
+    """The guard of a regex; nothing is required with Unicode letters, where a line in lower case may lack what it finds."""
+    g = G.Guard() if regex.startswith("(?U)") else G.guard(regex)
+    tests = [" OR ".join(f"contains(_low, {_sql(x)})" for x in sorted(g.any_of))] if g.any_of else []
+    tests += [f"_digits >= {g.digits}"] if g.digits else []
+    return " AND ".join(f"({t})" for t in tests) or "true"
 
 
-def _hits(lines: DataFrame, rules, regex: list[str], every: bool, fits: list[Column] | None = None) -> DataFrame:
-    """One row for each hit of a rule on a line: the first of each rule, or every one."""
+def _first_sql(regex: str, k: int) -> str:
+    r = _sql(regex)
+    return f"CASE WHEN {_guard_sql(regex)} AND line RLIKE {r} THEN named_struct('at', length(split(line, {r}, 2)[0]), 'hit', regexp_extract(line, {r}, 0), 'order', {k}L) END"
+
+
+def _every_sql(regex: str, k: int) -> str:
+    """A match begins after all pieces up to its own and all matches before it; one fold adds them up."""
+    r, none = _sql(regex), "cast(array() as array<struct<at:int,hit:string,order:bigint>>)"
+    both = f"filter(zip_with(split(line, {r}, -1), regexp_extract_all(line, {r}, 0), (p, h) -> named_struct('p', p, 'h', h)), x -> x.h IS NOT NULL)"
+    step = f"(s, x) -> named_struct('end', s.end + length(x.p) + length(x.h), 'out', concat(s.out, array(named_struct('at', s.end + length(x.p), 'hit', x.h, 'order', {k}L))))"
+    return f"CASE WHEN {_guard_sql(regex)} AND line RLIKE {r} THEN aggregate({both}, named_struct('end', 0, 'out', {none}), {step}, s -> s.out) END"
+
+
+def _hits(lines: DataFrame, rules, regex: list[str], every: bool, groups: list[tuple[str, list[int]]] | None = None) -> DataFrame:
+    """One row for each hit of a rule on a line: the first of each rule, or every one.
+
+    ``groups``: a condition on the line, in SQL, and the numbers of the rules that run where it holds; the first that holds
+    counts. Guards of the regexes, which are substring tests, come first: lines that pass none of a group's leave at once.
+    All of it is one expression in SQL, as building hundreds of expressions call by call takes longer than the scan of a
+    small table.
+    """
     if not rules:
-        rules, regex, fits = R.PII_RULES[:1], ["(?!)"], None
-    some = F.col("line").rlike("|".join(f"(?:{r})" for r in regex)) if len(regex) < 40 else None
-    lines = lines.where(some) if some is not None else lines
-    found = []
-    for k, (rule, r) in enumerate(zip(rules, regex, strict=True)):
-        hits = X.all_matches(F.col("line"), r) if every else X.first_match(F.col("line"), r)
-        if fits is not None:
-            hits = F.when(fits[k], hits)
-        meta = _meta(rule, k)
-        found.append(_with_meta(hits, meta, every))
-    hit = F.flatten(F.array(*found)) if every else F.filter(F.array(*found), lambda m: m.isNotNull())
-    return lines.select("*", F.explode(hit).alias("m")).select("*", "m.*").drop("m")
-
-
-def _with_meta(hits: Column, meta: list[Column], every: bool) -> Column:
-    if every:
-        return F.coalesce(F.transform(hits, lambda m: F.struct(m["at"].alias("at"), m["hit"].alias("hit"), *meta)), F.array())
-    return F.when(hits.isNotNull(), F.struct(hits["at"].alias("at"), hits["hit"].alias("hit"), *meta))
+        rules, regex, groups = R.PII_RULES[:1], ["(?!)"], None
+    groups = [(holds, ks) for holds, ks in groups or [("true", list(range(len(rules))))] if ks]
+    lines = lines.withColumns({"_low": F.lower("line"), "_digits": G.n_digits(F.col("line"))})
+    guards = [_guard_sql(r) for r in regex]
+    one = [(_every_sql if every else _first_sql)(r, k) for k, r in enumerate(regex)]
+    may = " ".join(f"WHEN {holds} THEN {'true' if any(guards[k] == 'true' for k in ks) else ' OR '.join(guards[k] for k in ks)}" for holds, ks in groups)
+    some = " ".join(f"WHEN {holds} THEN filter(array({', '.join(one[k] for k in ks)}), m -> m IS NOT NULL)" for holds, ks in groups)
+    hit = F.expr(f"flatten(CASE {some} END)" if every else f"CASE {some} END")
+    found = lines.where(F.expr(f"CASE {may} END")).select("*", F.explode(hit).alias("m")).select("*", "m.*", _meta(rules, F.col("m.order")).alias("_rule"))
+    return found.select("*", "_rule.*").drop("m", "_low", "_digits", "_rule")
 
 
 def _line_range() -> Column:
@@ -91,8 +128,10 @@ def _line_range() -> Column:
     return F.struct(n.alias("start_line"), F.col("at").alias("start_col"), n.alias("end_line"), (F.col("at") + F.length("hit")).alias("end_col"))
 
 
-def _seq() -> Column:
-    return F.col("line_number").cast("bigint") * 1000000 + F.col("order") * 10000 + F.least(F.col("at"), F.lit(9999))
+def _seq(*parts: Column) -> Column:
+    """The place of a finding among its document's: by line, rule and column unless others are given."""
+    first, second, at = parts or (F.col("line_number"), F.col("order"), F.col("at"))
+    return F.struct(first.cast("bigint").alias("first"), second.cast("bigint").alias("second"), at.cast("bigint").alias("at"))
 
 
 def code_rules(sensitivity: str = "medium") -> tuple[list[R.Rule], list[tuple[str, ...]]]:
@@ -112,8 +151,9 @@ def scan_code(docs: DataFrame, sensitivity: str = "medium", unicode: bool = Fals
     lines = by_line(docs).where(~F.col("line").rlike(X.COMMENT))
     lang = X.language_of(F.col("file_path"), F.col("language"))
     lines = lines.withColumn("_lang", F.when(lang.isin(*R.LANGUAGE_RULES), lang).otherwise("python"))
-    fits = [F.lit(True) if not n else F.col("_lang").isin(*n) for n in names]
-    hits = _hits(lines, rules, regexes(rules, unicode), False, fits)
+    everywhere = [k for k, n in enumerate(names) if not n]
+    groups = [("_lang IN (" + ", ".join(map(_sql, n)) + ")", everywhere + [k for k, m in enumerate(names) if m == n]) for n in dict.fromkeys(n for n in names if n)]
+    hits = _hits(lines, rules, regexes(rules, unicode), False, groups)
     return shaped(hits, message=F.col("said"), matched_text=F.col("hit"), scanner=F.lit("code_scanner"), pattern_name=F.col("name"), range=_line_range(), engine=F.lit("regex"), auto_fixable=F.col("name").isin(*R.AUTO_FIXABLE), suppressed=F.lit(False), seq=_seq())
 
 
@@ -136,7 +176,7 @@ def check_content(docs: DataFrame, sensitivity: str = "medium", blocked: list[st
     hits = _hits(by_line(docs), [r for _, r in rules], regexes([r for _, r in rules], unicode), False)
     cat = F.try_element_at(X.literal_map(kinds or {"": ""}), F.col("name"))
     said = F.concat(F.lit("Content violation detected: "), cat, F.lit(" ("), F.col("name"), F.lit(")"))
-    return shaped(hits, message=said, matched_text=F.substring("hit", 1, 100), scanner=F.lit("content_moderator"), pattern_name=F.col("name"), category=cat, range=_line_range(), suppressed=F.lit(False), seq=F.col("order") * 100000000 + _seq() % 100000000)
+    return shaped(hits, message=said, matched_text=F.substring("hit", 1, 100), scanner=F.lit("content_moderator"), pattern_name=F.col("name"), category=cat, range=_line_range(), suppressed=F.lit(False), seq=_seq(F.col("order"), F.col("line_number"), F.col("at")))
 
 
 def check_injection(docs: DataFrame, sensitivity: str = "medium", unicode: bool = False) -> DataFrame:
@@ -152,7 +192,7 @@ def check_injection(docs: DataFrame, sensitivity: str = "medium", unicode: bool
 
     (l0, c0), (l1, c1) = place(F.col("at")), place(F.col("at") + F.length("hit"))
     spot = F.struct(l0.alias("start_line"), c0.alias("start_col"), l1.alias("end_line"), c1.alias("end_col"))
-    return shaped(hits, message=F.col("said"), matched_text=F.substring("hit", 1, 100), line_number=l0 + 1, scanner=F.lit("injection_detector"), injection_type=F.col("name"), range=spot, suppressed=F.lit(False), seq=(l0 + 1).cast("bigint") * 1000000 + F.col("order") * 10000 + F.least(F.col("at"), F.lit(9999)))
+    return shaped(hits, message=F.col("said"), matched_text=F.substring("hit", 1, 100), line_number=l0 + 1, scanner=F.lit("injection_detector"), injection_type=F.col("name"), range=spot, suppressed=F.lit(False), seq=_seq(l0 + 1, F.col("order"), F.col("at")))
 
 
 #: Our own rules over public token formats: (kind, pattern, flags, severity, confidence).
@@ -188,10 +228,20 @@ def check_secrets(docs: DataFrame, sensitivity: str = "medium", unicode: bool =
 
 
 def match_pattern(docs: DataFrame, regex: str) -> DataFrame:
-    """Every hit of a caller's regex: doc_id, line_number, start, end, text. A broken regex raises at once."""
+    """Every hit of a caller's regex: doc_id, line_number, start, end, text and the texts of its groups (null: not taken
+    part). A broken regex raises at once."""
     docs.sparkSession.range(1).select(F.lit("").rlike(regex)).collect()
-    found = by_line(docs).where(F.col("line").rlike(regex)).select("doc_id", "line_number", F.explode(X.all_matches(F.col("line"), regex)).alias("m"))
-    return found.select("doc_id", "line_number", F.col("m.at").alias("start"), (F.col("m.at") + F.length("m.hit")).alias("end"), F.col("m.hit").alias("text"))
+    # In Java, as in the pattern's own numbering, an opening bracket that isn't escaped, in a class or (?...) begins a group;
+    # a group with a name counts too.
+    n = len(GROUP.findall(CLASSES.sub("", regex)))
+    found = by_line(docs).where(F.col("line").rlike(regex)).withColumn("_g", F.array(*[F.regexp_extract_all("line", F.lit(regex), F.lit(k + 1)) for k in range(n)]).cast("array<array<string>>"))
+    found = found.select("doc_id", "line_number", F.transform("_g", lambda g: F.filter(F.arrays_zip(F.regexp_extract_all("line", F.lit(regex), F.lit(0)).alias("h"), g.alias("g")), lambda x: x["h"] != "")).alias("_g"), F.posexplode(X.all_matches(F.col("line"), regex)).alias("_k", "m"))
+    groups = F.transform("_g", lambda g: F.nullif(F.get(g, F.col("_k"))["g"], F.lit("")))
+    return found.select("doc_id", "line_number", F.col("m.at").alias("start"), (F.col("m.at") + F.length("m.hit")).alias("end"), F.col("m.hit").alias("text"), groups.alias("groups"))
+
+
+#: Escaped signs and classes of a regex, and the brackets that begin a group in what is left.
+CLASSES, GROUP = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", re.S), re.compile(r"\((?!\?)|\(\?P?<(?![=!])")
 
 
 def scan_input(docs: DataFrame, sensitivity: str = "medium") -> DataFrame:

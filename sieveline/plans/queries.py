@@ -6,6 +6,7 @@ its tables by templates, the same in Spark and in SQL. All patterns run in ASCII
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import rules as R
 from sieveline.functions import text as X
+from sieveline.functions.advice import ADVICE
 from sieveline.operators import audit, flows, sarif, scanners, versions
 from sieveline.operators import findings as P
-from sieveline.plans import engines
-from sieveline.sources import diffs, manifests
+from sieveline.plans import engines, projects
+from sieveline.sources import advisories, diffs, manifests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,10 +71,10 @@ CONTENTS = ("how to kill a process {n}", "best way to make meth {n}", "I want to
 
 
 def _templated(spark, sf_dir, texts, key="event_id", table="events") -> DataFrame:
-    n = F.col(key).cast("string")
-    pick = F.array(*[F.lit(t) for t in texts])
-    raw = _table(spark, sf_dir, table).select(F.col(key).alias("doc_id"), F.get(pick, F.pmod(F.col(key), F.lit(len(texts))).cast("int")).alias("t"))
-    return raw.select("doc_id", F.replace("t", F.lit("{n}"), F.col("doc_id").cast("string")).alias("text")) if n is not None else raw
+    # The small tables are one file each, which one task would read: their keys are dealt to all of them.
+    keys = _table(spark, sf_dir, table).select(F.col(key).alias("doc_id")).repartition(spark.sparkContext.defaultParallelism)
+    pick = F.get(F.array(*[F.lit(t) for t in texts]), F.pmod(F.col("doc_id"), F.lit(len(texts))).cast("int"))
+    return keys.select("doc_id", F.replace(pick, F.lit("{n}"), F.col("doc_id").cast("string")).alias("text"))
 
 
 def _templated_sql(texts, key="event_id", table="events") -> str:
@@ -158,10 +160,89 @@ def code_findings(spark, sf_dir):
     return f.select("doc_id", F.col("line_number").cast("bigint").alias("line_number"), "pattern_name", "finding_type", "severity", "confidence", "matched_text", F.col("range.start_col").cast("bigint").alias("start_col"))
 
 
-@query()
+def _tables():
+    return (R.COMMON_RULES, *dict.fromkeys(R.LANGUAGE_RULES.values()))
+
+
+#: (language, text): what each rule finds, what replaces it, and a comment; a row of part takes the example of its key.
+EXAMPLES = tuple(
+    (next((k for k, v in R.LANGUAGE_RULES.items() if v is t), "javascript" if "xss" in r.name else "python"), f"x{{n}}\n{ADVICE[r.name][1]}\n{ADVICE[r.name][2]}\n// {ADVICE[r.name][1]}")
+    for t in _tables() for r in t
+)
+_EXAMPLE_LANGS = " ".join(f"WHEN {k} THEN '{x}'" for k, (x, _) in enumerate(EXAMPLES))
+_EXAMPLES_SQL = f"""c AS ({_templated_sql([t for _, t in EXAMPLES], "p_partkey", "part")}), cl AS (SELECT doc_id, CASE doc_id % {len(EXAMPLES)} {_EXAMPLE_LANGS} END AS language, string_split(text, chr(10)) AS a FROM c),
+lines AS (SELECT doc_id, language, unnest(a) AS line, generate_subscripts(a, 1) AS line_number FROM cl)"""
+
+
+def _examples(spark, sf_dir) -> DataFrame:
+    lang = F.get(F.array(*[F.lit(x) for x, _ in EXAMPLES]), F.pmod(F.col("doc_id"), F.lit(len(EXAMPLES))).cast("int"))
+    return _templated(spark, sf_dir, [t for _, t in EXAMPLES], "p_partkey", "part").withColumn("language", lang)
+
+
+@query(f"WITH {_EXAMPLES_SQL}, h AS ({_hits_sql(_code_sql('high'))}) SELECT doc_id, line_number, name AS pattern_name, finding_type, severity, confidence, matched_text, start_col FROM h")
+def code_rule_examples(spark, sf_dir):
+    """Every rule that both regex dialects can express."""
+    f = scanners.scan_code(_examples(spark, sf_dir), "high").where(~F.col("pattern_name").isin(*_ODD_RULES))
+    return f.select("doc_id", F.col("line_number").cast("bigint").alias("line_number"), "pattern_name", "finding_type", "severity", "confidence", "matched_text", F.col("range.start_col").cast("bigint").alias("start_col"))
+
+
+def _odd_sql() -> str:
+    """What Python's own regexes find in the examples: the rules that look around or back."""
+    rows = []
+    for k, (lang, text) in enumerate(EXAMPLES):
+        for r, names in zip(*scanners.code_rules("high"), strict=True):
+            if r.name in _ODD_RULES and (not names or lang in names):
+                for n, line in enumerate(text.split("\n"), 1):
+                    if not re.match(X.COMMENT, line) and (m := re.search(r.regex, line, re.A)):
+                        rows.append(f"({k}, {n}, {_sq(r.name)}, '{r.severity}', {_sq(m[0])})")
+    return f"SELECT p_partkey AS doc_id, CAST(v.n AS BIGINT) AS line_number, v.p AS pattern_name, v.s AS severity, v.m AS matched_text FROM part JOIN (VALUES {', '.join(rows)}) v(k, n, p, s, m) ON p_partkey % {len(EXAMPLES)} = v.k"
+
+
+@query(_odd_sql())
 def code_findings_lookaround(spark, sf_dir):
-    f = scanners.scan_code(_code(spark, sf_dir), "high").where(F.col("pattern_name").isin(*_ODD_RULES))
-    return f.select("doc_id", "line_number", "pattern_name", "severity", "matched_text")
+    f = scanners.scan_code(_examples(spark, sf_dir), "high").where(F.col("pattern_name").isin(*_ODD_RULES))
+    return f.select("doc_id", F.col("line_number").cast("bigint").alias("line_number"), "pattern_name", "severity", "matched_text")
+
+
+_FIXES = ", ".join(f"({_sq(n)}, {_sq(t)}, {_sq(b)}, {_sq(a)}, {str(n in R.AUTO_FIXABLE).lower()})" for n, (t, b, a) in ADVICE.items())
+
+
+@query(f"WITH {_EXAMPLES_SQL}, h AS ({_hits_sql(_code_sql('high'))}), v AS (SELECT * FROM (VALUES {_FIXES}) v(n, t, b, a, x)) SELECT name AS pattern_name, t AS description, b AS before_code, a AS after_code, x AS auto_fixable, count(*) AS n FROM h JOIN v ON v.n = h.name GROUP BY ALL")
+def remediations(spark, sf_dir):
+    f = scanners.scan_code(_examples(spark, sf_dir), "high").where(~F.col("pattern_name").isin(*_ODD_RULES))
+    r = f.select("pattern_name", "remediation.description", F.col("remediation.before").alias("before_code"), F.col("remediation.after").alias("after_code"), "remediation.auto_fixable")
+    return r.groupBy(*r.columns).agg(F.count("*").alias("n"))
+
+
+_OWASP = ", ".join(f"('{c}', '{i}', {_sq(t)})" for (i, t), cs in R.OWASP.items() for c in cs)
+_CWES = ", ".join(f"({_sq(r.name)}, '{c}')" for t in _tables() for r in t for c in r.cwe_ids)
+
+
+@query(f"""WITH {_EXAMPLES_SQL}, h AS ({_hits_sql(_code_sql('high'))}), cw AS (SELECT * FROM (VALUES {_CWES}) v(n, c)), o AS (SELECT * FROM (VALUES {_OWASP}) v(c, i, t)), k AS (SELECT name, count(*) AS n FROM h GROUP BY 1)
+SELECT k.name AS pattern_name, 'CWE' AS type, cw.c AS id, 'https://cwe.mitre.org/data/definitions/' || replace(cw.c, 'CWE-', '') || '.html' AS url, CAST(NULL AS VARCHAR) AS name, k.n FROM k JOIN cw ON cw.n = k.name
+UNION ALL SELECT DISTINCT k.name, 'OWASP', o.i, NULL, o.t, k.n FROM k JOIN cw ON cw.n = k.name JOIN o ON o.c = cw.c""")
+def finding_references(spark, sf_dir):
+    f = P.with_details(scanners.scan_code(_examples(spark, sf_dir), "high").where(~F.col("pattern_name").isin(*_ODD_RULES)))
+    r = f.select("pattern_name", F.explode("details.references").alias("r")).select("pattern_name", "r.*")
+    return r.groupBy(*r.columns).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_EXAMPLES_SQL}, h AS ({_hits_sql(_code_sql('high'))}) SELECT count(*) AS findings, count(*) AS ids, count(DISTINCT (doc_id, line_number, name)) AS places FROM h")
+def finding_ids(spark, sf_dir):
+    f = scanners.scan_code(_examples(spark, sf_dir), "high").where(~F.col("pattern_name").isin(*_ODD_RULES))
+    return f.agg(F.count("*").alias("findings"), F.countDistinct("finding_id").alias("ids"), F.countDistinct("doc_id", "seq").alias("places"))
+
+
+@query(f"WITH {_EXAMPLES_SQL}, h AS ({_hits_sql(_code_sql('high'))}), cw AS (SELECT * FROM (VALUES {_CWES}) v(n, c)) SELECT DISTINCT cw.c AS cwe_id FROM h JOIN cw ON cw.n = h.name")
+def sarif_taxa(spark, sf_dir):
+    return sarif.taxa(scanners.scan_code(_examples(spark, sf_dir), "high").where(~F.col("pattern_name").isin(*_ODD_RULES))).select("cwe_id")
+
+
+@query(f"""WITH {_EXAMPLES_SQL}, h AS ({_hits_sql(_code_sql('high'))}) SELECT CASE name WHEN 'insecure_hash' THEN 'low' WHEN 'go_ssrf' THEN 'critical' ELSE severity END AS severity, count(*) AS n FROM h GROUP BY 1""")
+def severity_overrides(spark, sf_dir):
+    project = projects.Project(severity_overrides={"insecure_hash": "low", "go_ssrf": "critical"})
+    f = project.applied(scanners.scan_code(_examples(spark, sf_dir), "high").where(~F.col("pattern_name").isin(*_ODD_RULES)))
+    return f.groupBy("severity").agg(F.count("*").alias("n"))
 
 
 # ---- prompts and content
@@ -177,10 +258,18 @@ def injection_by_type(spark, sf_dir):
     return f.groupBy("injection_type", "severity").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query()
+_PLACE = lambda end: f"length({end}) - length(replace({end}, chr(10), ''))"
+_COL = lambda end: f"length(string_split({end}, chr(10))[-1])"
+_INJECTIONS = " UNION ALL ".join(
+    f"SELECT doc_id, text, '{r.name}' AS injection_type, length(string_split_regex(text, {_re2(r)})[1]) AS pos, regexp_extract(text, {_re2(r)}) AS hit FROM t WHERE regexp_matches(text, {_re2(r)})" for r in R.INJECTION_RULES
+)
+
+
+@query(f"""WITH t AS ({_templated_sql(PROMPTS)}), h AS ({_INJECTIONS}), p AS (SELECT *, substr(text, 1, pos) AS b0, substr(text, 1, pos + length(hit)) AS b1 FROM h)
+SELECT doc_id, injection_type, {_PLACE("b0")} + 1 AS line_number, {_PLACE("b0")} AS start_line, {_COL("b0")} AS start_col, {_PLACE("b1")} AS end_line, {_COL("b1")} AS end_col, hit AS matched_text FROM p""")
 def injection_places(spark, sf_dir):
-    f = scanners.check_injection(_templated(spark, sf_dir, PROMPTS), "high")
-    return f.select("doc_id", "injection_type", "line_number", "range.start_line", "range.start_col", "range.end_line", "range.end_col", "matched_text")
+    f = scanners.check_injection(_templated(spark, sf_dir, PROMPTS), "high").select("doc_id", "injection_type", "line_number", "range.start_line", "range.start_col", "range.end_line", "range.end_col", "matched_text")
+    return f.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in f.dtypes])
 
 
 _CONTENT = [(c, r) for c, rs in R.CONTENT_RULES.items() for r in rs]
@@ -199,11 +288,23 @@ def pattern_matches(spark, sf_dir):
     return m.select("doc_id.conv_id", "doc_id.turn", "n")
 
 
-@query()
+def _said_sql() -> str:
+    cases = lambda texts: f"CASE (conv_id + turn) % {len(texts)} " + " ".join(f"WHEN {k} THEN {_sq(t)}" for k, t in enumerate(texts)) + " END"
+    return f"""c AS (SELECT conv_id, turn, role, text || ' ' || replace(CASE WHEN role = 'user' THEN {cases(PROMPTS)} ELSE {cases(CONTENTS)} END, '{{n}}', 'me@example.org') AS text FROM conversations)"""
+
+
+@query(f"""WITH {_said_sql()}, lines AS (SELECT conv_id * 1000000 + turn AS doc_id, text AS line, 1 AS line_number FROM c WHERE role = 'user'), i AS ({_every_sql(R.INJECTION_RULES)}),
+a AS (SELECT conv_id * 1000000 + turn AS doc_id, string_split(text, chr(10)) AS a FROM c WHERE role = 'assistant'), j AS (WITH lines AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS line_number FROM a), p AS ({_every_sql(R.PII_RULES)}) SELECT * FROM p),
+k AS (WITH lines AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS line_number FROM a), p AS ({_hits_sql([(r, "true") for c in R.CONTENT_RULES.values() for r in c])}) SELECT * FROM p)
+SELECT 'injection_detector' AS scanner, severity, count(*) AS n FROM i GROUP BY 2 UNION ALL SELECT 'pii_detector', severity, count(*) FROM j GROUP BY 2 UNION ALL SELECT 'content_moderator', severity, count(*) FROM k GROUP BY 2""")
 def conversation_inputs_and_outputs(spark, sf_dir):
-    c = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", "text")
-    found = scanners.scan_input(c.where("role = 'user'"), "high").unionByName(scanners.scan_output(c.where("role = 'assistant'"), "high"))
-    return found.groupBy("scanner", "severity").agg(F.count("*").alias("n"))
+    key = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(1 << 40))
+    pick = lambda texts: F.get(F.array(*[F.lit(t) for t in texts]), F.pmod(key, F.lit(len(texts))).cast("int"))
+    more = F.replace(F.when(F.col("role") == "user", pick(PROMPTS)).otherwise(pick(CONTENTS)), F.lit("{n}"), F.lit("me@example.org"))
+    c = _table(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "role", F.concat("text", F.lit(" "), more).alias("text"))
+    found = [scanners.scan_input(c.where("role = 'user'"), "high"), scanners.scan_output(c.where("role = 'assistant'"), "high")]
+    n = [f.groupBy("scanner", "severity").agg(F.count("*").alias("n")) for f in found]
+    return n[0].unionByName(n[1])
 
 
 # ---- operators on findings
@@ -229,8 +330,7 @@ def fingerprints(spark, sf_dir):
 @query(f"""{_FOUND_SQL}, b AS (SELECT DISTINCT {_FP_SQL} AS f FROM h WHERE doc_id % 3 <> 0), a AS (SELECT DISTINCT {_FP_SQL} AS f FROM h WHERE doc_id % 3 <> 1)
 SELECT coalesce(a.f, b.f) AS fingerprint, CASE WHEN b.f IS NULL THEN 'new' WHEN a.f IS NULL THEN 'removed' ELSE 'unchanged' END AS delta_status FROM b FULL JOIN a ON a.f = b.f""")
 def scan_delta(spark, sf_dir):
-    f = _plain(spark, sf_dir)
-    return P.delta(f.where("doc_id % 3 <> 0"), f.where("doc_id % 3 <> 1"))
+    return P.delta_of(_plain(spark, sf_dir), F.expr("doc_id % 3 <> 0"), F.expr("doc_id % 3 <> 1"))
 
 
 @query(f"""{_FOUND_SQL}, b AS (SELECT DISTINCT {_FP_SQL} AS f FROM h WHERE doc_id % 2 = 0), k AS (SELECT *, {_FP_SQL} AS f FROM h)
@@ -315,6 +415,28 @@ def tainted_flows(spark, sf_dir):
     return flows.scan_flows(docs).select("doc_id", F.col("finding_type").alias("sink"), "line_number", F.round("confidence", 6).alias("confidence"))
 
 
+#: (language, text, flows); a flow is its kind, the sink's line, the source's line, the variables and the confidence.
+FLOWS = (
+    ("python", "a = input()\nb = a\nc = b\nd = c\neval(d)", [("command_injection", 5, 1, "a,b,c,d", 0.79)]),
+    ("python", "def f():\n    a = request.args['k']\ndef g():\n    os.system(a)", []),
+    ("python", "a = os.environ['K']\ndef g():\n    open(a)\n    # open(a)\n    open('a b'.strip())", [("path_traversal", 3, 1, "a", 0.7), ("path_traversal", 5, 1, "a", 0.7)]),
+    ("python", "x = json.loads(t)\ny, z = x, 1\nMarkup(z)\ndef broken(:\n", []),
+    ("python", "def f(:\nx = json.loads(t)\nsubprocess.run(x)", [("command_injection", 3, 2, "x", 0.8)]),
+    ("javascript", "const a = req.query.id;\nconst b = 'x' + a;\ndb.query(b);", [("sql_injection", 3, 1, "a,b", 0.88)]),
+    ("javascript", "function f(req) {\n  const a = req.body.t;\n  if (a) {\n    el.innerHTML = a;\n  }\n}\nfunction g() {\n  el.innerHTML = a;\n}", [("xss", 4, 2, "a", 0.9)]),
+    ("javascript", "const h = async (x) => {\n  let v = window.location;\n  let w = v;\n  eval(w);\n};\nlet u = process.env\neval(u);", [("command_injection", 4, 2, "v,w", 0.83)]),
+    ("typescript", "const a = req.query.id;\ndb.query(a);", []),
+)
+_FLOW_ROWS = ", ".join(f"({k}, '{t}', {n}, {o}, '{v}', {c})" for k, (_, _, fs) in enumerate(FLOWS) for t, n, o, v, c in fs)
+
+
+@query(f"SELECT event_id AS doc_id, v.t AS finding_type, CAST(v.n AS BIGINT) AS sink_line, CAST(v.o AS BIGINT) AS source_line, v.h AS hops, CAST(v.c AS DOUBLE) AS confidence FROM events JOIN (VALUES {_FLOW_ROWS}) v(k, t, n, o, h, c) ON event_id % {len(FLOWS)} = v.k")
+def flow_chains(spark, sf_dir):
+    lang = F.get(F.array(*[F.lit(x[0]) for x in FLOWS]), F.pmod(F.col("doc_id"), F.lit(len(FLOWS))).cast("int"))
+    f = flows.scan_flows(_templated(spark, sf_dir, [x[1] for x in FLOWS]).withColumn("language", lang), "high")
+    return f.select("doc_id", "finding_type", F.col("flow.sink_line").cast("bigint").alias("sink_line"), F.col("flow.source_line").cast("bigint").alias("source_line"), F.array_join("flow.hops", ",").alias("hops"), F.round("confidence", 6).alias("confidence"))
+
+
 @query("SELECT event_id AS doc_id, CAST(8 AS INTEGER) AS line_number, CAST(0.4 AS DOUBLE) AS confidence FROM events")
 def structural_confidence(spark, sf_dir):
     docs = _templated(spark, sf_dir, [FLOW]).withColumn("language", F.lit("python"))
@@ -322,7 +444,11 @@ def structural_confidence(spark, sf_dir):
     return f.select("doc_id", "line_number", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+_SECRET_SQL = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(line, {_re2(r)})) AS hit FROM lines WHERE regexp_matches(line, {_re2(r)})" for r in scanners.secret_rules("medium"))
+
+
+@query(f"""WITH {_code_lines_sql()}, h AS ({_hits_sql(_code_sql('medium'))}), k AS ({_SECRET_SQL})
+SELECT 'code_scanner' AS scanner, 'regex' AS engine, finding_type, count(*) AS n FROM h GROUP BY 3 UNION ALL SELECT 'secret_detector', NULL, 'secret', count(*) FROM k""")
 def scan_plan(spark, sf_dir):
     p = engines.PROFILES["general"].with_engines("regex", "deep")
     return engines.scan_code(_code(spark, sf_dir), p, semantic=True).groupBy("scanner", "engine", "finding_type").agg(F.count("*").alias("n"))
@@ -337,10 +463,10 @@ def diff_lines(spark, sf_dir):
     return diffs.added_lines(d).select(F.col("diff_id").alias("doc_id"), "file_path", F.col("line_number").cast("bigint").alias("line_number"), "line")
 
 
-@query()
+@query("SELECT event_id AS doc_id, k.f AS file_path, CASE WHEN k.n = 0 THEN event_id ELSE k.n END AS line_number, k.p AS pattern_name FROM events, (VALUES ('x.py', 11, 'command_injection_os_system'), ('x.py', 0, 'insecure_hash'), ('z.py', 1, 'command_injection_eval')) k(f, n, p)")
 def diff_findings(spark, sf_dir):
     d = _templated(spark, sf_dir, [DIFF]).select(F.col("doc_id").alias("diff_id"), F.col("text").alias("diff_text"))
-    return diffs.scan_diff(d, "high").select("doc_id", "file_path", "line_number", "pattern_name")
+    return diffs.scan_diff(d, "high").select("doc_id", "file_path", F.col("line_number").cast("bigint").alias("line_number"), "pattern_name")
 
 
 REQUIREMENTS = "# pins\nrequests[security]>={n}.2 ; python_version > '3'\nflask=={n}.0.1  # web\n-r other.txt\nbare\nnumpy~=1.{n}"
@@ -377,3 +503,79 @@ def vulnerable_dependencies(spark, sf_dir):
     )
     f = versions.check_dependencies(d, _vulns(spark))
     return f.groupBy("package", "version", "vuln_id", "severity", "confidence").agg(F.count("*").alias("n"))
+
+
+#: A manifest of each kind and what it holds, with {n} for the part's key.
+MANIFESTS = (
+    ("requirements-dev.txt", "a==1.{n}\nb[x]>=2 ; python_version > '3'\nc", [("a", "1.{n}", "PyPI"), ("b", "2", "PyPI")]),
+    ("package.json", '{"dependencies":{"@s/a":"^1.{n}.0","b":"latest"},"devDependencies":{"c":"~2.0.0"}}', [("@s/a", "1.{n}.0", "npm"), ("c", "2.0.0", "npm")]),
+    ("pyproject.toml", '[project]\ndependencies = ["a>=1.{n}", "b"]\n[project.optional-dependencies]\nx = ["c==3.0"]', [("a", "1.{n}", "PyPI"), ("c", "3.0", "PyPI")]),
+    ("package-lock.json", '{"lockfileVersion":3,"packages":{"":{"version":"9"},"node_modules/a":{"version":"1.{n}.0"},"node_modules/a/node_modules/@s/b":{"version":"2.0.0"}}}', [("a", "1.{n}.0", "npm"), ("@s/b", "2.0.0", "npm")]),
+    ("package-lock.json", '{"lockfileVersion":1,"dependencies":{"a":{"version":"1.{n}.0","dependencies":{"b":{"version":"2.0.0"}}}}}', [("a", "1.{n}.0", "npm"), ("b", "2.0.0", "npm")]),
+    ("yarn.lock", '# v1\n\na@^1.0.0, a@^1.1.0:\n  version "1.{n}.0"\n\n"@s/b@^2.0.0":\n  version "2.0.0"\n', [("a", "1.{n}.0", "npm"), ("@s/b", "2.0.0", "npm")]),
+    ("pnpm-lock.yaml", "lockfileVersion: '6.0'\npackages:\n  /a@1.{n}.0:\n    x: y\n  /@s/b@2.0.0(c@1.0.0):\n    x: y\nsettings:\n  d@3.0.0: z\n", [("a", "1.{n}.0", "npm"), ("@s/b", "2.0.0", "npm")]),
+    ("Pipfile.lock", '{"default":{"a":{"version":"==1.{n}"}},"develop":{"b":{"version":"==2.0"}}}', [("a", "1.{n}", "PyPI"), ("b", "2.0", "PyPI")]),
+    ("go.mod", "module m\nrequire x/a v1.{n}.0\nrequire (\n\tx/b v2.0.0 // indirect\n)\nreplace (\n\tx/c v3.0.0 => ../c\n)\n", [("x/a", "v1.{n}.0", "Go"), ("x/b", "v2.0.0", "Go")]),
+    ("go.sum", "x/a v1.{n}.0 h1:q=\nx/a v1.{n}.0/go.mod h1:r=\nx/b v2.0.0 h1:s=\n", [("x/a", "v1.{n}.0", "Go"), ("x/b", "v2.0.0", "Go")]),
+    ("composer.json", '{"require":{"php":">=8","v/a":"^1.{n}","ext-x":"*"},"require-dev":{"v/b":"2.0"}}', [("v/a", "1.{n}", "Packagist"), ("v/b", "2.0", "Packagist")]),
+    ("composer.lock", '{"packages":[{"name":"v/a","version":"v1.{n}.0"}],"packages-dev":[{"name":"v/b","version":"2.0.0"}]}', [("v/a", "1.{n}.0", "Packagist"), ("v/b", "2.0.0", "Packagist")]),
+    ("package.json", "{broken", []),
+    ("notes.txt", "a==1", []),
+)
+_MANIFEST_ROWS = ", ".join(f"({k}, '{n}', '{v}', '{e}')" for k, (_, _, ds) in enumerate(MANIFESTS) for n, v, e in ds)
+
+
+def _manifest_files(spark, sf_dir) -> DataFrame:
+    t = _templated(spark, sf_dir, [m[1] for m in MANIFESTS], "p_partkey", "part")
+    name = F.get(F.array(*[F.lit(m[0]) for m in MANIFESTS]), F.pmod(F.col("doc_id"), F.lit(len(MANIFESTS))).cast("int"))
+    return t.select(F.concat(F.lit("p/"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("/"), name).alias("path"), F.col("text").alias("content"))
+
+
+_DEPS = f"deps AS (SELECT p_partkey AS part, v.n AS name, replace(v.v, '{{n}}', CAST(p_partkey AS VARCHAR)) AS version, v.e AS ecosystem FROM part JOIN (VALUES {_MANIFEST_ROWS}) v(k, n, v, e) ON p_partkey % {len(MANIFESTS)} = v.k)"
+
+
+@query(f"WITH {_DEPS} SELECT * FROM deps")
+def manifest_kinds(spark, sf_dir):
+    m = manifests.parse(_manifest_files(spark, sf_dir))
+    return m.select(F.regexp_extract("path", "p/([0-9]+)/", 1).cast("bigint").alias("part"), "name", "version", "ecosystem")
+
+
+@query(f"""WITH {_DEPS}, f AS (SELECT name, ecosystem, min_by(version, part) AS version FROM deps GROUP BY 1, 2), a AS (SELECT * FROM (VALUES ('PyPI', 'a', 2.0, 'V1'), ('npm', '@s/b', 3.0, 'V2'), ('PyPI', 'b', 2.0, 'V3')) v(e, n, below, i))
+SELECT name AS package, ecosystem, version, i AS vuln_id FROM f JOIN a ON a.e = ecosystem AND a.n = name WHERE TRY_CAST(string_split(version, '.')[1] AS DOUBLE) < below""")
+def dependency_tree(spark, sf_dir):
+    """Manifests of a tree to findings: every package once, as its first manifest has it."""
+    one = lambda i, eco, pkg, fix: (i, eco, pkg, "flaw", 7.0, ["CWE-79"], [("ECOSYSTEM", [{"introduced": "0"}, {"fixed": fix}])], fix, [])
+    vulns = spark.createDataFrame([one("V1", "PyPI", "a", "2.0"), one("V2", "npm", "@s/b", "3.0.0"), one("V3", "PyPI", "b", "2")], _vulns(spark).schema)
+    f = engines.scan_dependencies(_manifest_files(spark, sf_dir), vulns, ["x/*"])
+    return f.select("package", "ecosystem", "version", "vuln_id")
+
+
+#: Versions in order, by the syntax: release, then what comes before and after it.
+VERSIONS = {
+    "PyPI": ("0.9", "1.0.dev1", "1.0a1", "1.0b2", "1.0rc1", "1.0", "1.0.post1", "1.0.post2", "1.0.1", "1.2", "1.10", "2.0"),
+    "npm": ("0.9.0", "1.0.0-alpha", "1.0.0-beta", "1.0.0-rc", "1.0.0", "1.0.1", "1.2.0", "1.10.0", "2.0.0"),
+}
+_VERSION_ROWS = ", ".join(f"('{e}', '{v}', {k})" for e, vs in VERSIONS.items() for k, v in enumerate(vs))
+
+
+@query(f"WITH v AS (SELECT * FROM (VALUES {_VERSION_ROWS}) v(e, v, k)) SELECT p_partkey AS part, a.e AS ecosystem, a.v AS version, b.v AS fixed, a.k < b.k AS affected FROM part JOIN v a ON p_partkey % {max(map(len, VERSIONS.values()))} = a.k JOIN v b ON b.e = a.e")
+def version_ranges(spark, sf_dir):
+    """Each version against a range that ends at each other one."""
+    v = spark.createDataFrame([(e, x, k) for e, vs in VERSIONS.items() for k, x in enumerate(vs)], "ecosystem string, version string, k long")
+    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % max(map(len, VERSIONS.values()))).alias("k"))
+    both = parts.join(v, "k").join(v.select("ecosystem", F.col("version").alias("fixed")), "ecosystem")
+    events = F.array(F.create_map(F.lit("introduced"), F.lit("0")), F.create_map(F.lit("fixed"), F.col("fixed")))
+    ranges = F.array(F.struct(F.lit("ECOSYSTEM").alias("type"), events.alias("events")))
+    return both.select("part", "ecosystem", "version", "fixed", versions.affected(F.col("version"), ranges, F.col("ecosystem")).alias("affected"))
+
+
+@query(f"""{_FOUND_SQL}, m AS (SELECT DISTINCT {_FP_SQL} AS f FROM h WHERE doc_id < 40) SELECT 'code_scanner' AS scanner, count(*) AS n FROM m UNION ALL SELECT NULL, count(*) FROM m""")
+def false_positive_stats(spark, sf_dir):
+    f = _plain(spark, sf_dir).where("doc_id < 40")
+    marks = f.select(X.feedback_fingerprint().alias("fingerprint"), "pattern_name", "finding_type", "scanner", F.lit("known").alias("reason"), F.lit("2024-01-01").alias("created_at"), F.lit(True).alias("is_active"))
+    return P.mark_stats(P.mark(marks.limit(0), marks))
+
+
+@query("SELECT * FROM (VALUES ('PyPI', 3, 3, 5.0), ('npm', 1, 1, NULL), (NULL, 4, 4, NULL)) v(ecosystem, n_vulnerabilities, n_packages, last_sync)".replace("SELECT *", "SELECT ecosystem, CAST(n_vulnerabilities AS BIGINT) AS n_vulnerabilities, CAST(n_packages AS BIGINT) AS n_packages, CAST(last_sync AS DOUBLE) AS last_sync"))
+def advisory_stats(spark, sf_dir):
+    return advisories.stats(_vulns(spark), spark.createDataFrame([("PyPI", 5.0)], "ecosystem string, last_sync double"))

@@ -35,6 +35,12 @@ def upsert(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.unionByName(fresh, allowMissingColumns=True).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def stats(vulns: DataFrame, synced: DataFrame) -> DataFrame:
+    """For each ecosystem its advisories, packages and last synchronisation (ecosystem, last_sync); a null ecosystem is all."""
+    n = vulns.rollup("ecosystem").agg(F.count("*").alias("n_vulnerabilities"), F.countDistinct("package").alias("n_packages"))
+    return n.join(synced.select("ecosystem", "last_sync"), "ecosystem", "left")
+
+
 def stale(ecosystems: DataFrame, synced: DataFrame, now: float, max_age_hours: float = 24.0) -> DataFrame:
     """The ecosystems never synchronised (ecosystem, last_sync in seconds) or longer ago than that."""
     return ecosystems.join(synced, "ecosystem", "left").where(F.col("last_sync").isNull() | (F.lit(now) - F.col("last_sync") > max_age_hours * 3600)).select("ecosystem")

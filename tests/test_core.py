@@ -121,7 +121,7 @@ def test_enrichment_and_sarif(spark):
     f = scanners.scan_code(d)
     c = P.with_explanation(P.with_references(P.with_context(f, d))).first()
     assert c["code_context"]["before"] == ["a", "b"] and c["code_context"]["target_line"] == "os.system(c)" and c["code_context"]["after"] == ["d"]
-    assert {r["type"] for r in c["references"]} == {"cwe", "owasp"} and "85%" in c["match_explanation"]
+    assert {r["type"] for r in c["references"]} == {"CWE", "OWASP"} and "85%" in c["match_explanation"]
     log = json.loads(sarif.document(f, base="/src").first()["sarif"])
     run = log["runs"][0]
     assert log["version"] == "2.1.0" and run["results"][0]["ruleId"] == "command_injection/command_injection_os_system"
