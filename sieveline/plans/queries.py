@@ -261,11 +261,12 @@ def injection_by_type(spark, sf_dir):
 _PLACE = lambda end: f"length({end}) - length(replace({end}, chr(10), ''))"
 _COL = lambda end: f"length(string_split({end}, chr(10))[-1])"
 _INJECTIONS = " UNION ALL ".join(
-    f"SELECT doc_id, text, '{r.name}' AS injection_type, length(string_split_regex(text, {_re2(r)})[1]) AS pos, regexp_extract(text, {_re2(r)}) AS hit FROM t WHERE regexp_matches(text, {_re2(r)})" for r in R.INJECTION_RULES
+    f"SELECT doc_id, text, '{r.name}' AS injection_type, string_split_regex(text, {_re2(r)}) AS ps, regexp_extract_all(text, {_re2(r)}) AS hs FROM t WHERE regexp_matches(text, {_re2(r)})" for r in R.INJECTION_RULES
 )
+_SUM = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
 
 
-@query(f"""WITH t AS ({_templated_sql(PROMPTS)}), h AS ({_INJECTIONS}), p AS (SELECT *, substr(text, 1, pos) AS b0, substr(text, 1, pos + length(hit)) AS b1 FROM h)
+@query(f"""WITH t AS ({_templated_sql(PROMPTS)}), m AS ({_INJECTIONS}), n AS (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM m), h AS (SELECT doc_id, text, injection_type, hs[i] AS hit, CAST({_SUM("ps[1:i]")} + {_SUM("hs[1:i-1]")} AS BIGINT) AS pos FROM n), p AS (SELECT *, substr(text, 1, pos) AS b0, substr(text, 1, pos + length(hit)) AS b1 FROM h)
 SELECT doc_id, injection_type, {_PLACE("b0")} + 1 AS line_number, {_PLACE("b0")} AS start_line, {_COL("b0")} AS start_col, {_PLACE("b1")} AS end_line, {_COL("b1")} AS end_col, hit AS matched_text FROM p""")
 def injection_places(spark, sf_dir):
     f = scanners.check_injection(_templated(spark, sf_dir, PROMPTS), "high").select("doc_id", "injection_type", "line_number", "range.start_line", "range.start_col", "range.end_line", "range.end_col", "matched_text")
