@@ -118,7 +118,7 @@ PLAIN = Features()
 #: the 80 blocks of 16 bits is equal with one of 0.997; the shingles themselves then decide.
 NEAR = Features(width=5, distinct=True, family=20, similarity=0.8)
 #: Bits, of the first fingerprints, that go along with each block.
-SKETCH = 256
+SKETCH = 128
 #: Nodes of a block up to which all pairs are compared at once.
 RUN = 16
 
