@@ -13,6 +13,8 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Letters and digits of ASCII in lower case, and everything beyond ASCII.
 ALNUM_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Bits of a sieve: as 64-bit words at most 2 ** 20 rows, some 50 MB as a broadcast relation, however many the keys.
+SIEVE_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,3 +83,20 @@ def fresh(name: str, *frames: DataFrame) -> str:
 def packed(df: DataFrame, **parts: Column) -> DataFrame:
     """The frame's columns as one struct ``_row`` beside the given columns, so that no name can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in parts.items()])
+
+
+def sifted(rows: DataFrame, key: Column, keys: DataFrame, among: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be one of ``among`` the keys, and those whose key surely isn't.
+
+    ``key`` and ``among`` are hashes of 64 bits. A bitmap of ``SIEVE_BITS`` tells them apart where the rows lie, so that only the
+    former have to be shuffled to meet the keys. The bitmap has one size for any table; up to some four million keys it
+    lets through one row of sixteen that has no key, and beyond ever more, which costs shuffle and changes no result.
+    """
+    low = lambda h: h.bitwiseAND(F.lit(SIEVE_BITS - 1).cast("long"))
+    word = lambda h: F.shiftright(low(h), 6)
+    bit = lambda h: low(h).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    words = keys.select(word(among).alias("_sieve"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(among)).alias("b")).groupBy("_sieve").agg(F.bit_or("b").alias("_bits"))
+    both = rows.withColumn("_at", key)
+    both = both.join(F.broadcast(words), word(F.col("_at")) == F.col("_sieve"), "left")
+    maybe = F.coalesce(F.call_function("shiftright", F.col("_bits"), bit(F.col("_at"))).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return both.where(maybe).select(*rows.columns), both.where(~maybe).select(*rows.columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import alnum_words, packed, window_hash, written
+from sieveline.llm.common import alnum_words, packed, sifted, window_hash, written
 
 N = 10
 #: About 50 MB of hash relation.
@@ -97,7 +97,7 @@ def _known(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, n: int, doc: str, text: str) -> DataFrame:
-    """Kept as a table, so that its size is known: it is sent to all tasks only if it is small."""
+    """Kept as a table, so that the texts are scanned once."""
     hits = scan(docs, benchmark, n, doc, text).where("n_hit > 0").select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_h"), F.col("spans").alias("_spans"))
     return written(hits.dropDuplicates(["_i", "_h"]))
 
@@ -105,7 +105,9 @@ def _hits(docs: DataFrame, benchmark: DataFrame, n: int, doc: str, text: str) ->
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any hit, with their own columns."""
     dirty = _hits(docs, benchmark, n, doc, text).select("_i", "_h")
-    return _known(docs, doc, text).join(dirty, F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")), "left_anti").select("_row.*")
+    some, rest = sifted(_known(docs, doc, text).drop("_body"), F.xxhash64("_d", "_k"), dirty, F.xxhash64("_i", "_h"))
+    some = some.join(dirty.hint("merge"), F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h")), "left_anti")
+    return rest.unionByName(some).select("_row.*")
 
 
 def cut(docs: DataFrame, benchmark: DataFrame, n: int = N, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import packed, written
+from sieveline.llm.common import packed, sifted, written
 
 SEED = 42
 SHARD_ROWS = 50_000
@@ -46,13 +46,6 @@ SHARD_ROWS = 50_000
 CUTS = 3
 #: Edges of a node beyond which they are dealt over ``SALTS`` keys; and such nodes up to which they are sent to all tasks.
 HUB, SALTS, HUBS_SENT = 1000, 16, 100_000
-#: Rows up to which what tells documents apart is sent to all tasks, some 50 MB; beyond, the documents are shuffled.
-SENT = 500_000
-
-
-def _sent(rows: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has at most ``SENT`` rows."""
-    return F.broadcast(rows) if rows.count() <= SENT else rows
 
 
 # ---- fingerprints
@@ -424,10 +417,12 @@ def confirmed(nodes: DataFrame, docs: DataFrame, what: Features = NEAR, doc: str
     """Edges (a, b) between nodes (node, fps, one: a document's id and text_key) whose sets of shingles have the similarity."""
     roots = components(candidates(nodes.select("node", "fps"), what))
     sketch = [F.get("fps", F.lit(t)).alias(f"x{t}") for t in range(SKETCH // 64)]
-    # Narrow and written, so that its size is known: the texts stay where they are if it is small.
     roots = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().join(nodes, "node").select("root", "node", "one", *sketch))
     mine = F.col("_d").eqNullSafe(F.col("one.doc_id")) & (F.col("_k") == F.col("one.text_key"))
-    texts = docs.select(F.col(f"`{doc}`").alias("_d"), F.xxhash64(F.col(f"`{text}`")).alias("_k"), F.col(f"`{text}`").alias("_text")).join(_sent(roots), mine).select("root", "node", "_text", *[f"x{t}" for t in range(SKETCH // 64)])
+    texts = docs.select(F.col(f"`{doc}`").alias("_d"), F.xxhash64(F.col(f"`{text}`")).alias("_k"), F.col(f"`{text}`").alias("_text"))
+    # Only the candidates' texts leave their place, in the same way at any size.
+    some, _ = sifted(texts, F.xxhash64("_d", "_k"), roots, F.xxhash64("one.doc_id", "one.text_key"))
+    texts = some.join(roots.hint("merge"), mine).select("root", "node", "_text", *[f"x{t}" for t in range(SKETCH // 64)])
     return texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_exact(what), "a long, b long")
 
 
@@ -494,7 +489,8 @@ def deduplicated(docs: DataFrame, what: Features = NEAR, doc: str = "doc_id", te
     gone = written(same.alias("a").join(kept.alias("b"), one, "left_anti").select(F.col("doc_id").alias("_i"), F.coalesce("text_key", F.lit(0)).alias("_h")))
     a = packed(docs, _d=F.col(f"`{doc}`"), _k=F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)))
     at = F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_k") == F.col("_h"))
-    left = a.join(_sent(gone), at, "left_anti")
+    some, rest = sifted(a, F.xxhash64("_d", "_k"), gone, F.xxhash64("_i", "_h"))
+    left = rest.unionByName(some.join(gone.hint("merge"), at, "left_anti"))
     # Rows that are wholly alike in id and text: one of each is left.
     again = written(kept.where("n > 1").select(F.col("doc_id").alias("_i"), F.coalesce("text_key", F.lit(0)).alias("_h")))
     if again.isEmpty():

@@ -112,3 +112,15 @@ def test_components_of_hubs_and_chains(spark):
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
     want = {k: 7 for k in [*range(100, 4100), 6000, 6001]} | {k: 5000 for k in range(5001, 5301)}
     assert got == want
+
+
+def test_sieve_loses_no_key(spark):
+    from sieveline.llm.common import sifted
+
+    df = spark.range(20_000).withColumnRenamed("id", "k").unionByName(spark.sql("select cast(null as long) k"))
+    keys = spark.range(0, 20_000, 7).withColumnRenamed("id", "i")
+    some, rest = (([r["k"] for r in x.collect()]) for x in sifted(df, F.xxhash64("k"), keys, F.xxhash64("i")))
+    assert sorted(some + rest, key=str) == sorted([*range(20_000), None], key=str)
+    assert set(range(0, 20_000, 7)) <= set(some) and len(some) < 3000
+    none, all_ = sifted(df, F.xxhash64("k"), keys.limit(0), F.xxhash64("i"))
+    assert none.count() == 0 and all_.count() == 20_001
