@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import digest
 
 AUDIT = "audit_id bigint, at string, scan_type string, profile string, input_hash string, finding_count bigint"
+STORED = "audit_id bigint, finding_type string, severity string, message string, matched_text string, line_number int, file_path string, scanner string, finding_id string"
 
 
 def scans(docs: DataFrame, findings: DataFrame, scan_type: str, profile: str, at: str) -> DataFrame:
@@ -32,6 +33,24 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def record(audit: DataFrame, found: DataFrame, path: str, scan: str) -> None:
+    """Stores a scan's findings and then its audit rows under one name; a repeated scan replaces itself.
+
+    The audit rows are the commit: ``load`` gives only the findings of scans that have them, so that a scan that broke off
+    between the two is not seen.
+    """
+    found.write.mode("overwrite").parquet(f"{path}/findings/scan={scan}")
+    audit.write.mode("overwrite").parquet(f"{path}/audit/scan={scan}")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The audit rows and the findings of all whole scans; both have ``scan``."""
+    names = "scan string"
+    audit = spark.read.schema(f"{AUDIT}, {names}").parquet(f"{path}/audit")
+    found = spark.read.schema(f"{STORED}, {names}").parquet(f"{path}/findings")
+    return audit, found.join(audit.select("scan", "audit_id").distinct(), ["scan", "audit_id"], "left_semi")
+
+
 def query_log(audit: DataFrame, scan_type: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of the log, the latest first."""
     a = audit if scan_type is None else audit.where(F.col("scan_type") == scan_type)

@@ -173,3 +173,8 @@ def with_explanation(findings: DataFrame) -> DataFrame:
     sure = F.coalesce(F.concat(F.lit(" ("), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("% confidence)")), F.lit(""))
     said = F.concat(F.lit("Rule "), name, F.lit(" matched '"), cut, F.lit("'"), sure)
     return findings.withColumn("match_explanation", F.when(name.isNotNull() & (F.length("matched_text") > 0), said))
+
+
+def redacted(findings: DataFrame) -> DataFrame:
+    """The findings as they may leave the house: what was matched is replaced by the start of its digest."""
+    return findings.withColumn("matched_text", X.redacted(F.col("matched_text")))

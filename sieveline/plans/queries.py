@@ -130,6 +130,12 @@ def pii_findings(spark, sf_dir):
     return f.select("doc_id", F.col("line_number").cast("bigint").alias("line_number"), "pii_type", "matched_text").groupBy("doc_id", "line_number", "pii_type", "matched_text").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_DOC_LINES}, h AS ({_every_sql(scanners.secret_rules('high'))}) SELECT doc_id, line_number, '[REDACTED:' || sha256(hit[1:4] || '****')[1:12] || ']' AS matched_text FROM h")
+def redacted_secrets(spark, sf_dir):
+    f = P.redacted(scanners.check_secrets(_docs(spark, sf_dir), "high"))
+    return f.select("doc_id", F.col("line_number").cast("bigint").alias("line_number"), "matched_text")
+
+
 @query(f"WITH {_DOC_LINES}, h AS ({_every_sql(scanners.secret_rules('high'))}) SELECT doc_id, line_number, kind AS secret_type, hit[1:4] || '****' AS matched_text FROM h")
 def secret_findings(spark, sf_dir):
     f = scanners.check_secrets(_docs(spark, sf_dir), "high")
@@ -470,6 +476,12 @@ def diff_findings(spark, sf_dir):
     return diffs.scan_diff(d, "high").select("doc_id", "file_path", F.col("line_number").cast("bigint").alias("line_number"), "pattern_name")
 
 
+@query("SELECT event_id AS doc_id, CAST(2 AS BIGINT) AS n_files, CAST(4 AS BIGINT) AS lines_added, CAST(3 AS BIGINT) AS n_findings FROM events")
+def diff_summaries(spark, sf_dir):
+    d = _templated(spark, sf_dir, [DIFF]).select(F.col("doc_id").alias("diff_id"), F.col("text").alias("diff_text"))
+    return diffs.summary(d, diffs.scan_diff(d, "high")).withColumnRenamed("diff_id", "doc_id")
+
+
 REQUIREMENTS = "# pins\nrequests[security]>={n}.2 ; python_version > '3'\nflask=={n}.0.1  # web\n-r other.txt\nbare\nnumpy~=1.{n}"
 
 

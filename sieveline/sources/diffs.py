@@ -37,3 +37,11 @@ def scan_diff(diffs: DataFrame, sensitivity: str = "medium") -> DataFrame:
     found = scanners.scan_code(whole.withColumnRenamed("diff_id", "doc_id"), sensitivity)
     place = rows.select(F.col("diff_id").alias("doc_id"), "file_path", F.col("ordinal").alias("line_number"), F.col("line_number").alias("_n"))
     return found.join(place, ["doc_id", "file_path", "line_number"]).withColumn("line_number", F.col("_n")).select(*scanners.COLUMNS)
+
+
+def summary(diffs: DataFrame, found: DataFrame) -> DataFrame:
+    """For each diff its files with added lines, those lines, and its findings."""
+    added = added_lines(diffs).groupBy("diff_id").agg(F.countDistinct("file_path").alias("n_files"), F.count("*").alias("lines_added"))
+    n = found.groupBy("doc_id").agg(F.count("*").alias("n_findings"))
+    both = diffs.select("diff_id").join(added, "diff_id", "left").join(n, F.col("diff_id") == F.col("doc_id"), "left")
+    return both.select("diff_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_files", "lines_added", "n_findings")])

@@ -32,3 +32,10 @@ def requested(spark: SparkSession, wanted: list[tuple[str, str | None]], found:
     ask = spark.createDataFrame(wanted or [("", None)], "file_path string, language string").where("file_path <> ''")
     both = ask.join(found.select("file_path", "doc_id", "text"), "file_path", "left")
     return both.withColumn("error", F.when(F.col("doc_id").isNull(), "not found"))
+
+
+def summary(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """The number of findings of each requested file, null where it has an error; equal requests are one row each."""
+    n = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    count = F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0)))
+    return asked.select("file_path", "doc_id", "error").join(n, "doc_id", "left").select("file_path", count.alias("finding_count"), "error")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from sieveline.functions import text as X
+from sieveline.operators import findings as P
 from sieveline.operators import scanners
 
 STATE = StructType([StructField("seen", ArrayType(StringType()))])
@@ -22,15 +24,50 @@ def scan_stream(docs: DataFrame, scan: Callable[[DataFrame], DataFrame] = scanne
     return scan(docs)
 
 
-def sink(found: DataFrame, path: str, checkpoint: str):
-    """Writes findings batch by batch; a batch that is written again replaces itself, so each counts once."""
+def sink(found: DataFrame, path: str, checkpoint: str, marks: Callable[[], DataFrame] | None = None):
+    """Writes findings batch by batch; a batch that is written again replaces itself, so each counts once.
+
+    ``marks`` gives the false positives as they are; it is asked anew for each batch, so that a mark counts from the next one.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = P.annotate_marks(batch, marks()) if marks else batch
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return found.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).start()
 
 
+class Kept:
+    """A static table that a stream meets, read again once it is older than ``hours``."""
+
+    def __init__(self, read: Callable[[], DataFrame], hours: float = 24.0, clock: Callable[[], float] = time.time) -> None:
+        self._read, self._seconds, self._clock = read, hours * 3600, clock
+        self._at: float | None = None
+
+    def __call__(self) -> DataFrame:
+        now = self._clock()
+        if self._at is None or now - self._at > self._seconds:
+            self._table, self._at = self._read(), now
+        return self._table
+
+
+class Progress(StreamingQueryListener):
+    """Tells of each batch: its number, the rows read and the milliseconds that it took."""
+
+    def __init__(self, tell: Callable[[int, int, int], None]) -> None:
+        self._tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._tell(p.batchId, p.numInputRows, p.batchDuration)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class Changes(StatefulProcessor):
     """Per document: the fingerprints of its latest version; emits what is new, unchanged or removed."""
 
