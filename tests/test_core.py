@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sieveline import streaming
+from sieveline.functions import guards as G
 from sieveline.functions import rules as R
 from sieveline.functions import text as X
 from sieveline.operators import audit, flows, sarif, scanners, versions
@@ -278,3 +279,14 @@ def test_pattern_matches_of_long_conversations(spark, tmp_path):
     spark.createDataFrame(data, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r["conv_id"], r["turn"], r["n"]) for r in queries.QUERIES["pattern_matches"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1000, 1), (2, 0, 2), (2, 70000, 1)}
+
+
+def test_word_boundaries_are_ascii(spark):
+    """Java's own boundaries take an accented letter for a word's, unlike SQL's and Python's in ASCII mode."""
+    d = spark.createDataFrame([(1, "12 lange Stätte"), (2, "é123-45-6789"), (3, "12 lange Steg"), (4, "a123-45-6789")], "doc_id long, text string")
+    got = {(r["doc_id"], r["pii_type"]) for r in scanners.check_pii(d, "high").collect()}
+    assert got == {(1, "physical_address"), (2, "ssn")}
+    assert {(r["doc_id"], r["pii_type"]) for r in scanners.check_pii(d, "high", unicode=True).collect()} == set()
+    for r in (r for rules in (R.PII_RULES, R.INJECTION_RULES, *R.CONTENT_RULES.values(), R.COMMON_RULES, *R.LANGUAGE_RULES.values()) for r in rules):
+        assert "\\b" not in scanners.bounded(r.regex) and G.guard(scanners.bounded(r.regex)) == G.guard(r.regex), r.name
+    assert scanners.bounded(r"[\b]\\b\B") == r"[\b]\\b(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
