@@ -162,14 +162,19 @@ def code_rules(sensitivity: str = "medium") -> tuple[list[R.Rule], list[tuple[st
 def scan_code(docs: DataFrame, sensitivity: str = "medium", unicode: bool = False) -> DataFrame:
     """Code rules line by line, the first hit of each; comment lines are passed over. A row whose language has no
     rules of its own, or that has none, gets Python's."""
+    return scan_lines(by_line(docs), sensitivity, unicode)
+
+
+def scan_lines(lines: DataFrame, sensitivity: str = "medium", unicode: bool = False, *more: str) -> DataFrame:
+    """The same over rows of ``by_line``, of which the columns ``more`` go along."""
     rules, names = code_rules(sensitivity)
-    lines = by_line(docs).where(~F.col("line").rlike(X.COMMENT))
+    lines = lines.where(~F.col("line").rlike(X.COMMENT))
     lang = X.language_of(F.col("file_path"), F.col("language"))
     lines = lines.withColumn("_lang", F.when(lang.isin(*R.LANGUAGE_RULES), lang).otherwise("python"))
     everywhere = [k for k, n in enumerate(names) if not n]
     groups = [("_lang IN (" + ", ".join(map(_sql, n)) + ")", everywhere + [k for k, m in enumerate(names) if m == n]) for n in dict.fromkeys(n for n in names if n)]
     hits = _hits(lines, rules, regexes(rules, unicode), False, groups)
-    return shaped(hits, message=F.col("said"), matched_text=F.col("hit"), scanner=F.lit("code_scanner"), pattern_name=F.col("name"), range=_line_range(), engine=F.lit("regex"), auto_fixable=F.col("name").isin(*R.AUTO_FIXABLE), suppressed=F.lit(False), seq=_seq())
+    return shaped(hits, *more, message=F.col("said"), matched_text=F.col("hit"), scanner=F.lit("code_scanner"), pattern_name=F.col("name"), range=_line_range(), engine=F.lit("regex"), auto_fixable=F.col("name").isin(*R.AUTO_FIXABLE), suppressed=F.lit(False), seq=_seq())
 
 
 def check_pii(docs: DataFrame, sensitivity: str = "medium", unicode: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """The advisory service against a local server, marks and progress of streams, the audit store and summaries."""
 
 import json
+import re
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -112,3 +113,17 @@ def test_summaries_and_redaction(spark):
     assert got == {"a.py": (1, None), "b.py": (0, None), "c.py": (None, "not found")}
     shown = P.redacted(scanners.scan_code(src)).first()["matched_text"]
     assert shown.startswith("[REDACTED:") and len(shown) == 23
+
+
+def test_diffs_are_read_without_a_shuffle(spark):
+    """Each diff is read by itself; overlapping hunks, files that come again and hunks without a file keep their lines."""
+    texts = ["@@ -1 +1 @@\n+no\n+++ b/x.py\n+no\n@@ -1 +9,2 @@\n+eval(a)\n+b\n--- c\n+d\n@@ -1 +2 @@\n-e\n+os.system(f)\n+++ b/y.js\n@@ -0,0 +1 @@\n+\n+++ b/x.py\n@@ -1 +5 @@\n+g", None, "+++ b/\n@@ -1 +1 @@\n+no"]
+    d = spark.createDataFrame(list(enumerate(texts)), "diff_id long, diff_text string")
+    rows = diffs.added_lines(d)
+    want = [("x.py", 2, "os.system(f)", 1), ("x.py", 5, "g", 2), ("x.py", 9, "eval(a)", 3), ("x.py", 10, "b", 4), ("x.py", 12, "d", 5), ("y.js", 1, "", 1)]
+    assert sorted(tuple(r)[1:] for r in rows.collect()) == want
+    found = diffs.scan_diff(d, "high")
+    assert sorted((r["line_number"], r["range"]["start_line"], r["pattern_name"]) for r in found.collect()) == [(2, 0, "command_injection_os_system"), (9, 2, "command_injection_eval")]
+    assert sorted(tuple(r) for r in diffs.summary(d, found).collect()) == [(0, 2, 6, 2), (1, 0, 0, 0), (2, 0, 0, 0)]
+    for df in (rows, found):
+        assert not re.search(r"(?m)^[\s:+*()0-9-]*(Exchange|Sort|Window|\w*Join)\b", df._jdf.queryExecution().executedPlan().toString())
