@@ -89,6 +89,17 @@ def against_baseline(findings: DataFrame, known: DataFrame) -> tuple[DataFrame,
     return f.join(k, "fingerprint", "left_anti"), f.join(k, "fingerprint", "left_semi"), k.join(f, "fingerprint", "left_anti").orderBy("fingerprint")
 
 
+def baseline_counts(findings: DataFrame, known: DataFrame) -> DataFrame:
+    """status - new, unchanged or fixed - and how many of ``against_baseline`` there are: each side is read once, and only
+    fingerprints that are counted already are shuffled."""
+    f = findings.select(X.fingerprint().alias("fingerprint"), F.lit(1).alias("one"), F.lit(False).alias("known"))
+    k = known.select("fingerprint", F.lit(0).alias("one"), F.lit(True).alias("known"))
+    each = f.unionByName(k).groupBy("fingerprint").agg(F.sum("one").alias("n"), F.bool_or("known").alias("known"))
+    one = each.agg(F.sum(F.when(~F.col("known"), F.col("n"))).alias("new"), F.sum(F.when(F.col("known"), F.col("n"))).alias("unchanged"), F.count_if(F.col("known") & (F.col("n") == 0)).alias("fixed"))
+    rows = F.array(*[F.struct(F.lit(c).alias("status"), F.coalesce(c, F.lit(0)).cast("bigint").alias("n")) for c in ("new", "unchanged", "fixed")])
+    return one.select(F.inline(rows))
+
+
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """fingerprint and delta_status - new, unchanged or removed - of two scans' sets of findings."""
     b, a = baseline(before).withColumn("_b", F.lit(True)), baseline(after).withColumn("_a", F.lit(True))

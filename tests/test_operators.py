@@ -214,3 +214,15 @@ def test_version_pairs_are_compared_once(spark):
     plan = entry.queries()["version_ranges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     top = plan.split("RepartitionByExpression")[0].split("Repartition")[0]
     assert "Repartition" in plan and "aggregate(" not in top and "lambdafunction" not in top
+
+
+def test_baseline_counts(spark):
+    """The counts of the three parts, with each side read once."""
+    f = scanners.scan_code(docs(spark, ("eval(a)\neval(b)", None, None), ("eval(a)", None, None), ("os.system(c)", None, None)))
+    known = P.baseline(f.where("doc_id = 1")).unionByName(spark.createDataFrame([("gone",), ("gone",)], "fingerprint string"))
+    counts = P.baseline_counts(f, known)
+    new, same, gone = P.against_baseline(f, known)
+    assert {r["status"]: r["n"] for r in counts.collect()} == {"new": new.count(), "unchanged": same.count(), "fixed": gone.count()} == {"new": 2, "unchanged": 2, "fixed": 1}
+    assert P.baseline_counts(f.limit(0), known.limit(0)).count() == 3
+    plan = entry.queries()["baseline_compare"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[", plan)) == 2 and "Join" not in re.sub(r"'.*?'", "", plan).split("Generate")[0]
