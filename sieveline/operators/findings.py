@@ -10,6 +10,19 @@ from sieveline.functions import text as X
 from sieveline.operators.scanners import by_line
 
 MARKER = "sieveline:ignore"
+#: Bytes of input for each task that findings are dealt to.
+TASK = 1 << 20
+#: Bytes that stand for an input of no known size.
+UNKNOWN = 1 << 62
+
+
+def spread(findings: DataFrame) -> DataFrame:
+    """Findings dealt by document to tasks that grow in number with the input files, so that a task's memory doesn't. Spark's
+    own count is fixed, and is made smaller yet where rows compress well."""
+    leaves = findings._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    tasks = sum(n for n in sizes if n < UNKNOWN) // TASK
+    return findings.repartition(tasks, "doc_id") if tasks > findings.sparkSession.sparkContext.defaultParallelism else findings
 
 
 def merge_engines(findings: DataFrame) -> DataFrame:
@@ -17,12 +30,11 @@ def merge_engines(findings: DataFrame) -> DataFrame:
     and every row where one engine does. Adds ``engines``, the surest first, ``engine_evidence``, the flow of each engine that
     has one, and ``multi_engine_confirmed``."""
     key = ["doc_id", "file_path", "line_number", "finding_type"]
-    place = Window.partitionBy(*key)
-    # Of equally sure ones the line patterns' finding comes first.
-    best = place.orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), F.coalesce(F.col("engine") != "regex", F.lit(False)), "seq", "engine", "pattern_name")
-    f = findings.withColumn("_n", F.size(F.collect_set(F.coalesce("engine", F.lit("regex"))).over(place))).withColumn("_r", F.row_number().over(best))
-    named = F.array_sort(F.collect_list(F.struct("_r", F.coalesce("engine", F.lit("regex")).alias("e"), "flow")).over(place))
-    f = f.withColumn("_e", named).withColumn("engines", F.array_distinct(F.transform("_e", lambda x: x["e"])))
+    # Of equally sure ones the line patterns' finding comes first. One order serves all, so that rows are sorted once.
+    best = Window.partitionBy(*key).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), F.coalesce(F.col("engine") != "regex", F.lit(False)), "seq", "engine", "pattern_name")
+    place = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = F.collect_list(F.struct(F.coalesce("engine", F.lit("regex")).alias("e"), "flow")).over(place)
+    f = spread(findings).withColumns({"_r": F.row_number().over(best), "_e": named}).withColumn("engines", F.array_distinct(F.transform("_e", lambda x: x["e"]))).withColumn("_n", F.size("engines"))
     # The last of an engine's flows counts.
     flows = F.transform("engines", lambda n: F.struct(n.alias("n"), F.element_at(F.filter("_e", lambda x: x["e"] == n), -1)["flow"].alias("f")))
     f = f.withColumn("engine_evidence", F.when(F.col("_n") > 1, F.map_from_entries(F.filter(flows, lambda x: x["f"].isNotNull()))))

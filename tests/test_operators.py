@@ -226,3 +226,16 @@ def test_baseline_counts(spark):
     assert P.baseline_counts(f.limit(0), known.limit(0)).count() == 3
     plan = entry.queries()["baseline_compare"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[", plan)) == 2 and "Join" not in re.sub(r"'.*?'", "", plan).split("Generate")[0]
+
+
+def test_findings_to_merge_are_dealt_by_input(spark, tmp_path):
+    """The tasks grow in number with the input, and one sort by place serves all that is worked out of it."""
+    small, noise = str(tmp_path / "small"), F.sha2(F.concat(F.lit("x"), F.col("id").cast("string")), 512)
+    rows = lambda n: spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("eval(a) # "), noise).alias("text"))
+    rows(100).write.parquet(small)
+    rows(200_000).write.parquet(str(tmp_path / "large"))
+    found = lambda name: scanners.scan_code(spark.read.parquet(str(tmp_path / name)))
+    assert "RepartitionByExpression" not in P.spread(found("small"))._jdf.queryExecution().analyzed().toString()
+    assert int(re.search(r"RepartitionByExpression \[doc_id#\d+L?\], (\d+)", P.spread(found("large"))._jdf.queryExecution().analyzed().toString())[1]) >= 8
+    merged = P.merge_engines(found("small"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?m)^[\s:+-]*Window \[", merged)) == 1
